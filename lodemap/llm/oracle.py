@@ -33,3 +33,24 @@ cut AS (SELECT doc_id, size, body, CAST((16 * (2 * start + size)) // (2 * total)
 SELECT doc_id, size, {crc32_sql("body")} AS text_crc32, 'bytes' AS law, shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM cut"""
+
+#: Words of a text after folding A-Z alone.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLDED_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {FOLDED_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, array_to_string(w[i + 1 : i + 10], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 9))) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {FOLDED_WORDS} AS w FROM documents),
+at AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item, i, at.n FROM at JOIN windows USING (win, n)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
