@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one step inside a Python worker holds at once; a longer text makes a step of its own.
@@ -54,7 +55,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(column).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > most:
