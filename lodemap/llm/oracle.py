@@ -44,10 +44,10 @@ windows AS (
   SELECT DISTINCT item, array_to_string(w[i + 1 : i + 10], ' ') AS win, least(len(w), 10) AS n
   FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 9))) AS i FROM items WHERE len(w) > 0)),
 docs AS (SELECT doc_id, {FOLDED_WORDS} AS w FROM documents),
-at AS (
+spots AS (
   SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
   FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
-hits AS (SELECT doc_id, item, i, at.n FROM at JOIN windows USING (win, n)),
+hits AS (SELECT doc_id, item, i, n FROM spots JOIN windows USING (win, n)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id)
