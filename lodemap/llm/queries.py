@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import round_trip_digests
 from .common import documents
 from .decontam import scan_documents
+from .quality import apply_rules
 from .sharding import shard_by_bytes
 
 
@@ -24,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -39,10 +44,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_quality_rules": op3_quality_rules,
     "op7_decontamination": op7_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sharding": oracle.SHARDS,
+    "op3_quality_rules": oracle.QUALITY,
     "op7_decontamination": oracle.DECONTAMINATION,
 }
