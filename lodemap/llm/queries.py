@@ -13,6 +13,7 @@ from .bpe import round_trip_digests
 from .common import documents
 from .decontam import scan_documents
 from .quality import apply_rules
+from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
 
 
@@ -29,6 +30,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+    listed = "concat_ws(',', transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)))"
+    base = "filter(spans, s -> s.base)"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(F.expr(listed.format(base)), 256).alias("base_sha256"),
+        F.expr(listed.format("spans")).alias("spans"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -45,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
 }
 
