@@ -10,9 +10,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one step inside a Python worker holds at once; a longer text makes a step of its own.
 BLOCK_CHARS = 2_000_000
+#: Rows of a sample from which costs are estimated or a dictionary is trained, and the UTF-8 bytes of text it may hold.
+SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,3 +85,16 @@ def sha256_hex(data: bytes) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def sampled(docs: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
+    """A bounded sample: the rows of least key hash, and of those as many as ``most`` bytes hold."""
+    body = F.coalesce(F.col(text), F.lit("")).alias("__text")
+    few = docs.select(F.xxhash64(key).alias("__at"), F.col(key).alias("__key"), F.octet_length(body).alias("__n"))
+    ids = few.orderBy("__at").limit(rows)
+    chosen, held = [], 0
+    for row in ids.collect():
+        held += row["__n"]
+        if held <= most and row["__key"] is not None:
+            chosen.append(row["__key"])
+    return [r[0].encode() for r in docs.where(F.col(key).isin(chosen)).select(body).limit(rows).collect()]

@@ -12,12 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, sampled, utf8
 
-#: Rows of the sample from which cost and selectivity are estimated. The order of rules never changes a verdict.
-SAMPLE_ROWS = 1_000
-#: UTF-8 bytes of text that the sample may hold.
-SAMPLE_BYTES = 8_000_000
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -133,25 +129,13 @@ def plan(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ..
     return tuple(x[-1] for x in sorted(found, key=lambda x: x[:3]))
 
 
-def sampled(docs: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
-    """A bounded sample: the rows of least key hash, and of those as many as ``most`` bytes hold."""
-    body = F.coalesce(F.col(text), F.lit("")).alias("__text")
-    few = docs.select(F.xxhash64(key).alias("__at"), F.col(key).alias("__key"), F.octet_length(body).alias("__n"))
-    ids = few.orderBy("__at").limit(rows)
-    chosen, held = [], 0
-    for row in ids.collect():
-        held += row["__n"]
-        if held <= most and row["__key"] is not None:
-            chosen.append(row["__key"])
-    return [r[0].encode() for r in docs.where(F.col(key).isin(chosen)).select(body).limit(rows).collect()]
-
-
 def apply_rules(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", sample: list[bytes] | None = None
 ) -> DataFrame:
     """Key, the statistics ``EMITTED`` of every whole text, base_failed and kept.
 
-    The rules run as a cascade in the order that ``plan`` finds on a bounded sample, and stop at the first rejection;
+    The rules run as a cascade in the order that ``plan`` finds on a bounded sample, and stop at the first rejection (the
+    order never changes a verdict);
     statistics that a rule has computed are the ones returned. Words are runs without ASCII white space. Null and empty
     texts have no words and fail. Repeated rows are judged each for itself, other columns are ignored, and an empty table
     gives no rows.

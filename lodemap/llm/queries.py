@@ -15,6 +15,7 @@ from .decontam import scan_documents
 from .quality import apply_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
+from .token_files import read_token_files, write_token_files
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +55,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return read_token_files(docs, write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {
