@@ -19,7 +19,7 @@ WINDOW = 10
 AUTOMATON_BYTES = 8_000_000
 
 #: A-Z to lower case, every other ASCII character that is no letter or digit to a space; bytes of non-ASCII stay.
-_FOLD = bytes(
+FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
 
@@ -28,7 +28,7 @@ SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<star
 
 def item_windows(text: bytes, window: int = WINDOW) -> list[bytes]:
     """The windows of one item; an item of fewer words, but not none, is one window."""
-    words = text.translate(_FOLD).split()
+    words = text.translate(FOLD).split()
     if not words:
         return []
     return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
@@ -51,7 +51,7 @@ class Scanner:
 
     def scan(self, text: bytes) -> tuple[int, int, list[str], list[tuple[int, int]]]:
         """Words, words hit, items that occur, and the hit stretches as code point spans of the original text."""
-        words = text.translate(_FOLD).split()
+        words = text.translate(FOLD).split()
         if self.empty or not words:
             return len(words), 0, [], []
         plain = " " + b" ".join(words).decode("latin-1") + " "
@@ -77,7 +77,7 @@ def _spans(text: bytes, runs: list[list[int]]) -> list[tuple[int, int]]:
     """Code point spans, in the original text, of runs of words given by their numbers."""
     if not runs:
         return []
-    folded, bounds, at = text.translate(_FOLD), [], 0
+    folded, bounds, at = text.translate(FOLD), [], 0
     for word in folded.split():
         at = folded.index(word, at)
         bounds.append((at, at + len(word)))
@@ -178,7 +178,7 @@ def _hit_words(rows: DataFrame, key: str) -> DataFrame:
                     else:
                         merged.append([s["start"], s["end"]])
                 plain = body.decode()
-                hits.append(sum(len(plain[a:b].encode().translate(_FOLD).split()) for a, b in merged))
+                hits.append(sum(len(plain[a:b].encode().translate(FOLD).split()) for a, b in merged))
                 spans.append([{"start": a, "end": b} for a, b in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(

@@ -16,6 +16,7 @@ from .quality import apply_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
 from .token_files import read_token_files, write_token_files
+from .toxicity import examples, fit, held_out, score
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(examples(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
 }
