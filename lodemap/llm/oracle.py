@@ -78,3 +78,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
             OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_words) AS kept
 FROM base"""
+
+LINE_DEDUP = """
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, l, unnest(range(len(l))) AS no FROM cut),
+lines AS (
+  SELECT doc_id, no, doc_id * 1000000 + no AS pos, l[no + 1] AS line, regexp_extract_all(l[no + 1], '[^\\x20\\x09-\\x0D]+') AS w
+  FROM numbered),
+firsts AS (SELECT w, len(w) AS n, min(pos) AS first FROM lines WHERE len(w) > 0 GROUP BY w),
+lacking AS (
+  SELECT first, n, i, list_concat(w[1 : i], w[i + 2 :]) AS rest
+  FROM (SELECT first, n, w, unnest(range(n)) AS i FROM firsts WHERE n >= 8)),
+gone AS (
+  SELECT pos FROM lines JOIN firsts USING (w) WHERE pos > first
+  UNION SELECT first FROM (SELECT first, min(first) OVER (PARTITION BY n, i, rest) AS other FROM lacking) WHERE other < first
+  UNION SELECT greatest(a.first, b.first) FROM lacking a JOIN firsts b ON a.rest = b.w AND b.n >= 8),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone.pos IS NOT NULL) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE gone.pos IS NULL), '') AS text
+  FROM lines LEFT JOIN gone USING (pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, k.text
+FROM documents d LEFT JOIN kept k USING (doc_id)"""

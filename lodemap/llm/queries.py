@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import round_trip_digests
 from .common import documents
 from .decontam import scan_documents
+from .line_dedup import dedup_lines
 from .quality import apply_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
@@ -32,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir))
     listed = "concat_ws(',', transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)))"
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
@@ -80,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_sharding": oracle.SHARDS,
     "op3_quality_rules": oracle.QUALITY,
+    "op4_line_dedup": oracle.LINE_DEDUP,
     "op7_decontamination": oracle.DECONTAMINATION,
 }
