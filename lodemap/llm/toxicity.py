@@ -70,12 +70,12 @@ class FactorizationMachine:
         return self.scores(flat, np.repeat(np.arange(len(texts)), sizes), len(texts))
 
 
-def telling_terms(examples: list[tuple[list[int], int]]) -> np.ndarray:
+def telling_terms(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """The sorted hashes of the terms whose presence depends on the label (a G-test of two by two counts)."""
     n = {y: sum(label == y for _, label in examples) for y in (0, 1)}
     if not n[0] or not n[1]:
         return np.zeros(0, np.int64)
-    every, place = np.unique(np.concatenate([np.asarray(t, np.int64) for t, _ in examples]), return_inverse=True)
+    every, place = np.unique(np.concatenate([t for t, _ in examples]), return_inverse=True)
     label = np.repeat([y for _, y in examples], [len(t) for t, _ in examples])
     toxic = np.bincount(place, label, len(every))
     times = np.bincount(place, minlength=len(every))
@@ -91,7 +91,7 @@ def telling_terms(examples: list[tuple[list[int], int]]) -> np.ndarray:
     return every[(times >= LEAST_TEXTS) & (g >= LEAST_G)]
 
 
-def fit(examples: list[tuple[list[int], int]]) -> FactorizationMachine:
+def fit(examples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
     """Learns from (term hashes, label) pairs by AdaGrad on the logistic loss; the same examples give the same machine."""
     hashes = telling_terms(examples)
     rng = np.random.default_rng(SEED)
@@ -100,7 +100,7 @@ def fit(examples: list[tuple[list[int], int]]) -> FactorizationMachine:
         toxic = sum(y for _, y in examples)
         model.bias = float(np.log((toxic + 1) / (len(examples) - toxic + 1)))
         return model
-    rows = [r[r >= 0] for r in (model.rows(np.asarray(t, np.int64)) for t, _ in examples)]
+    rows = [r[r >= 0] for r in (model.rows(t) for t, _ in examples)]
     labels = np.array([y for _, y in examples], float)
     seen_linear, seen_factors, seen_bias = np.full(len(hashes), 1e-6), np.full((len(hashes), FACTORS), 1e-6), 1e-6
     for _ in range(EPOCHS):
@@ -132,7 +132,7 @@ def held_out(key: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[list[int], int]]:
+def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[np.ndarray, int]]:
     """A bounded sample of labelled texts outside the held-out third, as term hashes and label."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("__key")).agg(F.max("toxic").cast("int").alias("__toxic"))
@@ -143,17 +143,18 @@ def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            hashed = [sorted(map(term_hash, terms(x)))[:TRAIN_TERMS] for x in utf8(block, "__text")]
+            hashed = [np.array(sorted(map(term_hash, terms(x)))[:TRAIN_TERMS], np.int64).tobytes() for x in utf8(block, "__text")]
             names = ["__key", "__toxic", "__terms"]
             yield pa.RecordBatch.from_arrays(
-                [block.column("__key"), block.column("__toxic"), pa.array(hashed, pa.list_(pa.int64()))], names=names
+                [block.column("__key"), block.column("__toxic"), pa.array(hashed, pa.binary())], names=names
             )
 
     kind = rows.schema["__key"].dataType.simpleString()
-    hashed = rows.mapInArrow(run, f"__key {kind}, __toxic int, __terms array<long>")
+    hashed = rows.mapInArrow(run, f"__key {kind}, __toxic int, __terms binary")
     once = hashed.groupBy("__key").agg(F.min("__terms").alias("__terms"), F.max("__toxic").alias("__toxic"))
-    found = once.collect()  # a row for each chosen label at most
-    return [(r["__terms"], r["__toxic"]) for r in sorted(found, key=lambda r: r["__key"])]
+    found = once.toArrow().sort_by("__key")  # a row for each chosen label at most
+    bodies, toxic = found.column("__terms").to_pylist(), found.column("__toxic").to_pylist()
+    return [(np.frombuffer(b, np.int64), y) for b, y in zip(bodies, toxic, strict=True)]
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text") -> DataFrame:
