@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Lines of fewer words are repeated only when they are equal; one word of them would be too much of an edit.
 LEAST_WORDS = 8
+#: Lines or documents, at most, that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: 40 bits of a word's hash, so that sums over a line stay within 64 bits.
 _MASK = (1 << 40) - 1
-
-
-def _words(line: str) -> Column:
-    """The words of a line, cut at ASCII white space; one empty word where it has none."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def _document(key: str, text: str) -> Column:
@@ -24,12 +22,19 @@ def _document(key: str, text: str) -> Column:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each line with a word: its place ``at`` (document, number), a 128-bit id of its words, and the words."""
+    """A row for each line with a word: its place ``at`` (document, number), its words joined by single spaces, a 128-bit id
+    of these, and their number ``n``. White space is rewritten only in lines that have other than single spaces."""
     rows = docs.select(_document(key, text).alias("__doc"), F.split(text, "\n", -1).alias("__lines"))
     lines = rows.select("__doc", F.posexplode("__lines").alias("__no", "__line"))
-    worded = lines.select(F.struct(F.col("__doc").alias("doc"), F.col("__no").alias("no")).alias("at"), _words("__line").alias("words"))
-    return worded.where("words[0] <> ''").select(
-        "at", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n"), "words"
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains("__line", F.lit(mark))
+    even = F.when(odd, F.regexp_replace("__line", _SPACE, " ")).otherwise(F.col("__line"))
+    at = F.struct(F.col("__doc").alias("doc"), F.col("__no").alias("no")).alias("at")
+    plain = lines.select(at, F.trim(even).alias("line")).where("line <> ''")
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return plain.select(
+        "at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (spaces + 1).alias("n")
     )
 
 
@@ -37,30 +42,22 @@ def _half_keys() -> Column:
     """Hashes of the beginnings and ends that two lines within one edit share one of.
 
     Lines of n and n' words within one edit agree in max(n, n') - 1 words from the two ends together, so in the first or in
-    the last max(n, n') div 2 words. A line emits those lengths for partners of as many words and of one more.
+    the last max(n, n') div 2 words. A line has those lengths for partners of as many words and of one more: first and last
+    of n div 2 words, then, if n is odd, of one word more.
     """
-    return F.expr(
-        "flatten(transform(array_distinct(array(n div 2, (n + 1) div 2)), k -> array("
-        "xxhash64('first', k, slice(words, 1, cast(k as int))),"
-        "xxhash64('last', k, slice(words, cast(n - k + 1 as int), cast(k as int))))))"
-    )
-
+    ends = "xxhash64('first', {k}, substring_index(line, ' ', {k})), xxhash64('last', {k}, substring_index(line, ' ', -({k})))"
+    less, more = ends.format(k="n div 2"), ends.format(k="n div 2 + 1")
+    ends = F.expr(f"if(n % 2 = 0, array({less}), array({less}, {more}))".replace("n div 2", "cast(n div 2 as int)"))
+    return ends
 
-def _variants() -> Column:
-    """The keys of a line in its deletion neighbourhood, as (role, key).
 
-    ``whole``: the bag of its words. ``less``: the bag without one word, which equals ``whole`` of the line that lacks it.
-    ``but``: the words in their places without the one at place i, which two lines share that differ in that word alone.
-    Bags are hashed by the exclusive or and the sum of the words' hashes, so each variant costs the same however long the
-    line is; what shares a key is verified.
-    """
+def _edit_places() -> Column:
+    """The numbers of the words where an edit may be: behind a shared beginning, or before a shared end."""
     return F.expr(
-        "concat("
-        "array(struct('whole' as role, xxhash64('bag', n, bag_x, bag_s) as key)),"
-        "transform(array_distinct(bag), h -> struct('less' as role, xxhash64('bag', n - 1, bag_x ^ h, bag_s - (h & {m}L)) as key)),"
-        "transform(placed, (h, i) -> struct('but' as role, xxhash64('but', n, i, placed_x ^ h, placed_s - (h & {m}L)) as key)))".format(
-            m=_MASK
-        )
+        "filter(sequence(0, n - 1), i -> i >= case when array_contains(shared, halves[0]) then n div 2"
+        " when array_contains(shared, get(halves, 2)) then n div 2 + 1 else n end"
+        " or i < case when array_contains(shared, halves[1]) then n - n div 2"
+        " when array_contains(shared, get(halves, 3)) then n - n div 2 - 1 else 0 end)"
     )
 
 
@@ -84,12 +81,16 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     Earlier is by key, then hash of the text, then line number; a null key comes first. The test looks at all lines,
     removed or not, so the result doesn't depend on any order of work. Every copy counts once (equal lines are gathered
     before anything is joined), so a line that a third of all rows hold is one row in the joins.
+
+    The deletion neighbourhood of a line has two kinds of keys for each word: ``but``, the words in their places without the
+    one at place i, which two lines share that differ in that word alone; and ``less``, the bag of the other words, which is
+    the bag of a line that lacks the word. Only lines that share a half with another line (``_half_keys``) can have a
+    neighbour, and only at places outside it, so only those are emitted. Bags and places are hashed by the exclusive or and
+    the sum of the words' hashes: a variant costs the same however long its line is. What shares a key is verified.
     """
     lines = lines_of(docs, key, text)
     half = F.when(F.col("n") >= least_words, _half_keys())
-    kept = lines.select("at", "h1", "h2", "n", half.alias("halves"))
-    # places and hashes alone; words of the few lines with a neighbour are read again from the documents
-    table = written(kept, "lines")
+    table = written(lines.select("at", "h1", "h2", "n", half.alias("halves")), "lines")  # no text: places and hashes
     distinct = table.groupBy("h1", "h2").agg(
         F.min("at").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("halves").alias("halves")
     )
@@ -97,35 +98,44 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     again = distinct.where("copies > 1").select("h1", "h2", "first")
     copies = table.select("at", "h1", "h2").join(again, ["h1", "h2"]).where(F.col("at") != F.col("first")).select("at")
 
-    # lines that share a half with another: no other line has a neighbour
-    halves = distinct.where("halves is not null").select("h1", "h2", "first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    likely = halves.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
-    likely = lines.join(likely.withColumnRenamed("first", "at"), ["at", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    hashed = likely.withColumn("bag", F.expr("transform(words, w -> xxhash64(w))")).withColumn(
-        "placed", F.expr("transform(words, (w, i) -> xxhash64(w, i))")
-    )
+    ends = distinct.where("halves is not null").select("h1", F.explode("halves").alias("half"))
+    shared = ends.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
+    shared = ends.join(shared, "half").groupBy("h1").agg(F.collect_set("half").alias("shared"))  # four at most
+    likely = distinct.join(shared, "h1").select("h1", F.col("first").alias("place"), "n", "halves", "shared")
+    # ids in the order of the places
+    likely = written(likely.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "likely-lines")
+    few = likely.count() <= BROADCAST_ROWS
+
+    chosen = likely.select("id", F.col("h1").alias("own"), "place", _edit_places().alias("places"))
+    same = (F.col("h1") == F.col("own")) & (F.col("at") == F.col("place"))
+    read = lines.select("at", "h1", "n", "line").join(F.broadcast(chosen) if few else chosen, same)
+    words = read.select("id", "places", "n", F.split("line", " ").alias("words"))
+    words = words.withColumn("bag", F.expr("transform(words, w -> xxhash64(w))"))
+    words = words.withColumn("placed", F.expr("transform(words, (w, i) -> xxhash64(w, i))"))
     for name in ("bag", "placed"):
-        hashed = hashed.withColumn(f"{name}_x", F.expr(f"aggregate({name}, 0L, (s, h) -> s ^ h)")).withColumn(
-            f"{name}_s", F.expr(f"aggregate({name}, 0L, (s, h) -> s + (h & {_MASK}L))")
-        )
-    likely = written(hashed, "likely-lines")
-    keys = likely.select("at", "h1", F.explode(_variants()).alias("v")).select("at", "h1", "v.role", "v.key")
-    keys = written(keys, "line-variants")
+        words = words.withColumn(f"{name}_x", F.expr(f"aggregate({name}, 0L, (s, h) -> s ^ h)"))
+        words = words.withColumn(f"{name}_s", F.expr(f"aggregate({name}, 0L, (s, h) -> s + (h & {_MASK}L))"))
+    words = written(words, "likely-words")
+    if words.count() > likely.count():  # rows that repeat key and text
+        words = written(words.dropDuplicates(["id"]), "likely-words")
+
+    but = f"transform(places, i -> xxhash64('but', n, i, placed_x ^ placed[i], placed_s - (placed[i] & {_MASK}L)))"
+    less = f"transform(places, i -> xxhash64('bag', n - 1, bag_x ^ bag[i], bag_s - (bag[i] & {_MASK}L)))"
+    whole = words.select(F.expr("xxhash64('bag', n, bag_x, bag_s)").alias("key"), F.col("id").alias("short"))
 
     # replaced words: all lines of a key are within one edit of each other, so the earliest stands for them
-    earliest = keys.where("role = 'but'").groupBy("key").agg(F.min("at").alias("other"), F.count("*").alias("c")).where("c > 1")
-    replaced = keys.where("role = 'but'").join(earliest, "key").where("other < at").groupBy("at").agg(F.min("other").alias("other"))
+    replaced = words.select("id", F.explode(F.expr(but)).alias("key"))
+    replaced = replaced.withColumn("other", F.min("id").over(Window.partitionBy("key"))).where("other < id")
+    replaced = replaced.groupBy("id").agg(F.min("other").alias("other"))
     # inserted or deleted words: a whole line and the lines that lack one of their words to be it
-    whole = keys.where("role = 'whole'").select("key", F.col("at").alias("short"))
-    less = keys.where("role = 'less'").select("key", F.col("at").alias("long"))
-    pairs = less.join(whole, "key").distinct()
-    pairs = pairs.select(F.greatest("short", "long").alias("at"), F.least("short", "long").alias("other"))
-    pairs = pairs.unionByName(replaced.select("at", "other")).distinct()
-    mine = likely.select("at", F.col("words").alias("a"))
-    theirs = likely.select(F.col("at").alias("other"), F.col("words").alias("b"))
-    near = pairs.join(mine, "at").join(theirs, "other").where(within_one_edit("a", "b")).select("at").distinct()
-    return copies.unionByName(near)
+    lacking = words.select(F.col("id").alias("long"), F.explode(F.expr(less)).alias("key"))
+    pairs = lacking.join(F.broadcast(whole) if few else whole, "key")
+    pairs = pairs.select(F.greatest("short", "long").alias("id"), F.least("short", "long").alias("other"))
+    pairs = pairs.unionByName(replaced).distinct()
+    mine = words.select("id", F.col("words").alias("a"))
+    theirs = words.select(F.col("id").alias("other"), F.col("words").alias("b"))
+    near = pairs.join(mine, "id").join(theirs, "other").where(within_one_edit("a", "b")).select("id").distinct()
+    return copies.unionByName(likely.join(near, "id").select(F.col("place").alias("at"))).distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -140,8 +150,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     gone = repeated_lines(docs, key, text, least_words).groupBy(F.col("at.doc").alias("__doc"))
     gone = gone.agg(F.collect_set("at.no").alias("__gone"))  # as long as the document at most
     gone = gone.select(F.col("__doc.key").alias("__key"), F.col("__doc.body").alias("__body"), "__gone")
+    gone = written(gone, "gone")
     rows = docs.withColumn("__hash", F.xxhash64(text))
-    rows = rows.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__body")), "left")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__body"))
+    rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left")
     left = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(__gone, i)), '\\n')")
     return rows.select(
         *(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns),
