@@ -13,6 +13,7 @@ from .bpe import round_trip_digests
 from .common import documents
 from .decontam import scan_documents
 from .line_dedup import dedup_lines
+from .ngram_join import similarity_classes
 from .quality import apply_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_by_bytes
@@ -72,6 +73,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(docs, write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(documents(spark, sf_dir), k=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, utf8, written
 from .decontam import FOLD
 
 #: Labelled rows to learn from, at most, of each class; by hash of the key, so the same ones on every run.
@@ -21,6 +21,8 @@ TRAIN_TOXIC, TRAIN_CLEAN = 4_000, 8_000
 TRAIN_TERMS = 20_000
 #: A term has weights if as many labelled texts have it and its G-statistic against the label is as large.
 LEAST_TEXTS, LEAST_G = 3, 8.0
+#: Terms with weights, at most: those of the largest G-statistic.
+MOST_TERMS = 20_000
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 20, 64, 0.5, 1e-6, 7
 #: A score from here on is a prediction of toxicity.
 THRESHOLD = 0.7
@@ -70,30 +72,9 @@ class FactorizationMachine:
         return self.scores(flat, np.repeat(np.arange(len(texts)), sizes), len(texts))
 
 
-def telling_terms(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """The sorted hashes of the terms whose presence depends on the label (a G-test of two by two counts)."""
-    n = {y: sum(label == y for _, label in examples) for y in (0, 1)}
-    if not n[0] or not n[1]:
-        return np.zeros(0, np.int64)
-    every, place = np.unique(np.concatenate([t for t, _ in examples]), return_inverse=True)
-    label = np.repeat([y for _, y in examples], [len(t) for t, _ in examples])
-    toxic = np.bincount(place, label, len(every))
-    times = np.bincount(place, minlength=len(every))
-    g = np.zeros(len(every))
-    for observed, of_label, with_term in (
-        (toxic, n[1], times),
-        (times - toxic, n[0], times),
-        (n[1] - toxic, n[1], len(examples) - times),
-        (n[0] - times + toxic, n[0], len(examples) - times),
-    ):
-        expected = of_label * with_term / len(examples)
-        g += 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1) / np.maximum(expected, 1e-9)), 0)
-    return every[(times >= LEAST_TEXTS) & (g >= LEAST_G)]
-
-
 def fit(examples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
     """Learns from (term hashes, label) pairs by AdaGrad on the logistic loss; the same examples give the same machine."""
-    hashes = telling_terms(examples)
+    hashes = np.unique(np.concatenate([t for t, _ in examples])) if examples else np.zeros(0, np.int64)
     rng = np.random.default_rng(SEED)
     model = FactorizationMachine(hashes, 0.0, np.zeros(len(hashes)), rng.normal(0, 0.01, (len(hashes), FACTORS)))
     if not len(hashes):
@@ -132,28 +113,50 @@ def held_out(key: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def telling_terms(texts: DataFrame) -> DataFrame:
+    """The terms, of rows with ``terms`` and ``toxic``, whose presence depends on the label by a G-test of two by two counts."""
+    n = texts.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    every = texts.select("toxic", F.explode("terms").alias("term")).groupBy("term")
+    every = every.agg(F.count("*").alias("times"), F.sum("toxic").alias("hits")).where(F.col("times") >= LEAST_TEXTS)
+    cells = (
+        ("hits", n["toxic"], "times"),
+        ("times - hits", n["all"] - n["toxic"], "times"),
+        (f"{n['toxic']} - hits", n["toxic"], f"({n['all']} - times)"),
+        (f"{n['all'] - n['toxic']} - times + hits", n["all"] - n["toxic"], f"({n['all']} - times)"),
+    )
+    part = "if({0} > 0, 2 * ({0}) * ln(({0}) * {3}D / ({1}D * {2})), 0D)"
+    g = " + ".join(part.format(f"({seen})", max(label, 1), term, n["all"]) for seen, label, term in cells)
+    return every.select("term", F.expr(g).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(MOST_TERMS)
+
+
 def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[np.ndarray, int]]:
-    """A bounded sample of labelled texts outside the held-out third, as term hashes and label."""
+    """A bounded sample of labelled texts outside the held-out third, as the hashes of their telling terms and their label."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    known = known.groupBy(F.col(key).alias("__key")).agg(F.max("toxic").cast("int").alias("__toxic"))
-    toxic = known.where("__toxic = 1").orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_TOXIC)
-    clean = known.where("__toxic = 0").orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_CLEAN)
+    known = known.groupBy(F.col(key).alias("__key")).agg(F.max("toxic").cast("int").alias("toxic"))
+    toxic = known.where("toxic = 1").orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_TOXIC)
+    clean = known.where("toxic = 0").orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_CLEAN)
     chosen = F.broadcast(toxic.unionByName(clean))  # TRAIN_TOXIC + TRAIN_CLEAN rows at most
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(chosen, "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            hashed = [np.array(sorted(map(term_hash, terms(x)))[:TRAIN_TERMS], np.int64).tobytes() for x in utf8(block, "__text")]
-            names = ["__key", "__toxic", "__terms"]
-            yield pa.RecordBatch.from_arrays(
-                [block.column("__key"), block.column("__toxic"), pa.array(hashed, pa.binary())], names=names
-            )
+            hashed = [sorted(map(term_hash, terms(x)))[:TRAIN_TERMS] for x in utf8(block, "__text")]
+            columns = [block.column("__key"), block.column("toxic"), pa.array(hashed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__key", "toxic", "terms"])
 
     kind = rows.schema["__key"].dataType.simpleString()
-    hashed = rows.mapInArrow(run, f"__key {kind}, __toxic int, __terms binary")
-    once = hashed.groupBy("__key").agg(F.min("__terms").alias("__terms"), F.max("__toxic").alias("__toxic"))
-    found = once.toArrow().sort_by("__key")  # a row for each chosen label at most
-    bodies, toxic = found.column("__terms").to_pylist(), found.column("__toxic").to_pylist()
+    hashed = rows.mapInArrow(run, f"__key {kind}, toxic int, terms array<long>")
+    texts = written(hashed.groupBy("__key", "toxic").agg(F.min("terms").alias("terms")), "labelled")
+    telling = np.sort(telling_terms(texts).toArrow().column("term").to_numpy())
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(t.values.to_numpy(), telling).tobytes() for t in batch.column("terms")]
+            columns = [batch.column("__key"), batch.column("toxic"), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["__key", "toxic", "terms"])
+
+    found = texts.mapInArrow(narrow, f"__key {kind}, toxic int, terms binary").toArrow().sort_by("__key")
+    bodies, toxic = found.column("terms").to_pylist(), found.column("toxic").to_pylist()
     return [(np.frombuffer(b, np.int64), y) for b, y in zip(bodies, toxic, strict=True)]
 
 
