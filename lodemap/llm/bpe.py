@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -191,25 +192,33 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", id
     return rows.mapInArrow(run, f"__key {kind}, decoded binary").withColumnRenamed("__key", key)
 
 
-def round_trip_digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip_digests(
+    docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False
+) -> DataFrame:
     """Encodes every whole text, decodes the ids, and returns key, n_tokens, ids_sha256 (of the decimal ids joined by commas)
-    and decoded_sha256 (of the decoded bytes). Rows as in ``encode``; ids never leave the worker that made them."""
+    and decoded_sha256 (of the decoded bytes); with ``keep_ids`` the ids too. Rows as in ``encode``."""
     shared = shared_coder(docs, ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for block in blocks(batches, "__text"):
-            counts, shas, back = [], [], []
+            counts, shas, back, kept = [], [], [], []
             for ids in coder.encode(strings(block, "__text")):
                 counts.append(len(ids))
                 shas.append(sha256_hex(",".join(map(coder.digits.__getitem__, ids)).encode()))
                 back.append(sha256_hex(coder.decode(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())],
-                names=["__key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if keep_ids:
+                    kept.append(array("i", ids))
+            columns = [block.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
+            names = ["__key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(kept), np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    out = rows.mapInArrow(run, f"__key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    more = ", ids array<int>" if keep_ids else ""
+    out = rows.mapInArrow(run, f"__key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumnRenamed("__key", key)

@@ -190,3 +190,16 @@ def _hit_words(rows: DataFrame, key: str) -> DataFrame:
     flat = rows.select(F.col(f"__id.{key}").alias("__key"), "n_words", "items", "spans", "__text")
     return flat.mapInArrow(count, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
 
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows without any occurrence of a window, with all their columns; one pass for each block of items."""
+    for part in item_blocks(benchmark, most=most):
+        packed = json.dumps(part)
+
+        def clean(batches: Iterator[pa.RecordBatch], packed: str = packed) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(packed, WINDOW)
+            for block in blocks(batches, text):
+                yield block.filter(pa.array([not scanner.scan(x)[1] for x in utf8(block, text)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -334,3 +334,19 @@ def _alike(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes allow the similarity."""
     sized = pairs.join(sizes.withColumnsRenamed({"node": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"node": "v", "n": "nv"}), "v")
     return sized.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the least key of each component, with all their columns; of rows that repeat a key, where links reach
+    them, the one of least text stays. Rows without shingles all stay."""
+    classes = written(similarity_classes(docs, k, percent, key, text), "classes")
+    of = classes.select(F.col(key).alias("__own"), F.col("component_id").alias("__least"), "n_shingles")
+    gone = of.where("n_shingles > 0 and not (__own <=> __least)").select("__own").distinct()
+    gone = written(gone, "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col(key).eqNullSafe(F.col("__own")), "left_anti")
+    twice = of.where("n_shingles > 0 and __own <=> __least").groupBy("__own").count().where("count > 1").select("__own")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, F.col(key).eqNullSafe(F.col("__own")), "left_semi")
+    first = again.groupBy(F.col(key)).agg(F.min_by(F.struct(*again.columns), F.col(text)).alias("row")).select("row.*")
+    return kept.join(twice, F.col(key).eqNullSafe(F.col("__own")), "left_anti").unionByName(first)
