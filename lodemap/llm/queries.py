@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import round_trip_digests
 from .common import documents
 from .decontam import scan_documents
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import similarity_classes
 from .quality import apply_rules
@@ -68,6 +69,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    listed = "concat_ws(',', transform(licenses, x -> concat(x.license, ':', x.matched, '/', x.words, ':', x.start, ':', x.end)))"
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.expr(listed).alias("licenses"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return read_token_files(docs, write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_ngram_join": op10_ngram_join,
 }
