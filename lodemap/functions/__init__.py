@@ -1 +1 @@
-
+"""Column functions: geometry, labels, affinities."""

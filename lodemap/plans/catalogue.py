@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import clouds  # noqa: F401  (registers its queries)
 from .registry import ORACLES, QUERIES, Query
 
 
