@@ -25,7 +25,7 @@ from .common import blocks, utf8, written
 #: Keys of documents, at most, that are broadcast to fetch their texts again; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Members of a key's group that are compared with all of it in one round, after the round against its first member.
-CENTERS = 8
+CENTERS = 32
 #: Rows of edges or roots that make a partition of their own.
 ROWS_A_PART = 200_000
 #: Rows of keys that one wrong candidate costs as much as, when segments are allotted.
@@ -256,6 +256,38 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return found.withColumn("root", F.coalesce("root", "node"))
 
 
+def _stars(kept: DataFrame) -> DataFrame:
+    """Each key's least node with each of its others."""
+    centers = kept.groupBy("k").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u <> hi").select("k", "u")
+    return kept.join(centers, "k").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+
+
+def _split(kept: DataFrame, roots: DataFrame) -> DataFrame:
+    """k, node and root of the keys that join several components."""
+    grouped = _rooted(kept.select("k", "node"), roots)
+    split = grouped.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+    return grouped.join(split, "k", "left_semi")
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """k and node: of each set its rarest shingles among these sets, all but ``percent`` % of them and one more. Two sets that
+    are so similar share at least ``percent`` % of the larger one, so the rarest of what they share is among these in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+                members = np.frombuffer(raw.as_py(), np.int64)
+                size = len(members)
+                rows = [pa.array(np.full(size, node)), pa.array(np.full(size, size)), pa.array(members)]
+                yield pa.RecordBatch.from_arrays(rows, names=["node", "n", "k"])
+
+    rows = sets.select("node", "members").mapInArrow(run, "node long, n long, k long")
+    often = rows.groupBy("k").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("node").orderBy("c", "k")
+    ranked = rows.join(often, "k").withColumn("rank", F.row_number().over(order))
+    return ranked.where(f"c > 1 and rank <= n - (n * {percent} + 99) div 100 + 1").select("k", "node")
+
+
 def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every row: documents whose sets of distinct k-word shingles have a Jaccard
     similarity of ``percent`` or more are linked, and a component's id is the least key that links reach.
@@ -285,8 +317,8 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     slack = F.element_at(F.array(*(F.lit(b.slack) for b in table)), F.shiftright("k", _KEY_BITS).cast("int") + 1)
     in_band = Window.partitionBy("node", F.shiftright("k", _KEY_BITS)).orderBy(F.desc("c"), "k")
     kept = shared.withColumn("rank", F.row_number().over(in_band)).where(F.col("rank") > slack).select("k", "node")
-    lone = kept.groupBy("k").agg(F.min("node").alias("center"), F.max("node").alias("hi")).where("center <> hi").select("k", "center")
-    kept = written(kept.join(lone, "k"), "kept-keys")
+    lone = kept.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("k")
+    kept = written(kept.join(lone, "k", "left_semi"), "kept-keys")
 
     # texts of the sets that are compared, one for each; key and hash find it among the documents
     wanted = kept.select("node").distinct()
@@ -301,23 +333,28 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     if sets.count() > compared:  # rows that repeat key and text
         sets = written(sets.dropDuplicates(["node"]), "sets")
 
-    pairs = kept.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = written(_linked(_alike(pairs, sizes, percent), sets, percent), "links")
+    links = written(_linked(_alike(_stars(kept), sizes, percent), sets, percent), "links")
+    roots = components(links)
+
+    # Keys that still join several components are mostly those of passages that many texts share. The sets behind them are
+    # searched by their rarest shingles, where such passages don't count; a similar pair shares one of these for certain.
+    apart = _split(kept, roots).select("node").distinct()
+    rare = written(_rarest(sets.join(apart, "node", "left_semi"), percent), "rarest")
+    links = written(links.unionByName(_linked(_alike(_stars(rare), sizes, percent), sets, percent)).distinct(), "links")
     roots = components(links)
 
-    # groups that still hold several components: their members in turn against the whole group, until none is left
+    # what these still leave apart: members in turn against their whole group, until none is left
     turn = 0
     while True:
-        grouped = _rooted(kept.select("k", "node"), roots)
-        split = grouped.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
         order = Window.partitionBy("k").orderBy("node")
-        ranked = written(grouped.join(split, "k", "left_semi").withColumn("rank", F.row_number().over(order)), "split-groups")
-        first, last = 1 + turn * CENTERS, 1 + (turn + 1) * CENTERS  # the first member has been compared
-        if ranked.where(F.col("rank") > first).isEmpty():
+        ranked = written(_split(rare, roots).withColumn("rank", F.row_number().over(order)), "split-groups")
+        first = 1 + turn * CENTERS  # the first member has been compared
+        if ranked.where(F.col("rank") > first + 1).isEmpty():
             break
-        centers = ranked.where(F.col("rank").between(first + 1, last)).select("k", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("rank").alias("r"))
-        apart = (ranked["k"] == centers["k"]) & (ranked["root"] != centers["ru"]) & (ranked["rank"] > centers["r"])
-        pairs = ranked.join(centers, apart).select("u", F.col("node").alias("v")).distinct()
+        centers = ranked.where(F.col("rank").between(first + 1, first + CENTERS))
+        centers = centers.select("k", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("rank").alias("r"))
+        differ = (ranked["k"] == centers["k"]) & (ranked["root"] != centers["ru"]) & (ranked["rank"] > centers["r"])
+        pairs = ranked.join(centers, differ).select("u", F.col("node").alias("v")).distinct()
         more = written(_linked(_alike(pairs, sizes, percent), sets, percent), "links")
         turn += 1
         if not more.isEmpty():
