@@ -24,7 +24,7 @@ from .common import blocks, utf8, written
 
 #: Keys of documents, at most, that are broadcast to fetch their texts again; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Members of a key's group that are compared with all of it in one round, after the round against its first member.
+#: Members of a group of rare shingles that are compared with all of it in one round, after the round against its first member.
 CENTERS = 32
 #: Rows of edges or roots that make a partition of their own.
 ROWS_A_PART = 200_000
@@ -237,12 +237,9 @@ def components(edges: DataFrame) -> DataFrame:
     roots = kept(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("p")).select("x", F.least("x", "p").alias("p"))
-        for _ in range(2):  # follow parents; what is left of a chain goes on in the next round
-            parent = kept(parent, "parents")
-            up = parent.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
-        parent = kept(parent, "parents")
+        parent = kept(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("p")).select("x", F.least("x", "p").alias("p")), "parents")
+        up = parent.select(F.col("x").alias("p"), F.col("p").alias("pp"))  # one step up; the rest of a chain goes on next round
+        parent = parent.join(up, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
         moved = roots.join(parent.withColumnsRenamed({"x": "root", "p": "to"}), "root", "left")
         roots = kept(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
         ends = edges.join(parent.withColumnsRenamed({"x": "u", "p": "pu"}), "u").join(parent.withColumnsRenamed({"x": "v", "p": "pv"}), "v")
@@ -263,15 +260,16 @@ def _stars(kept: DataFrame) -> DataFrame:
 
 
 def _split(kept: DataFrame, roots: DataFrame) -> DataFrame:
-    """k, node and root of the keys that join several components."""
-    grouped = _rooted(kept.select("k", "node"), roots)
+    """The rows, with their roots, of the keys that join several components."""
+    grouped = _rooted(kept, roots)
     split = grouped.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
     return grouped.join(split, "k", "left_semi")
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """k and node: of each set its rarest shingles among these sets, all but ``percent`` % of them and one more. Two sets that
-    are so similar share at least ``percent`` % of the larger one, so the rarest of what they share is among these in both."""
+    """k, node, n (the size) and place (from 0, in the order of frequency): of each set its rarest shingles among these sets,
+    all but ``percent`` % of them and one more. Two sets that are so similar share at least ``percent`` % of the larger one, so
+    the rarest of what they share is among these in both; what stands before it in either is not in the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +283,21 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("k").agg(F.count("*").alias("c"))
     order = Window.partitionBy("node").orderBy("c", "k")
     ranked = rows.join(often, "k").withColumn("rank", F.row_number().over(order))
-    return ranked.where(f"c > 1 and rank <= n - (n * {percent} + 99) div 100 + 1").select("k", "node")
+    ranked = ranked.withColumn("place", F.col("rank") - 1)
+    return ranked.where(f"c > 1 and place <= n - (n * {percent} + 99) div 100").select("k", "node", "n", "place")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """With the rank in the group, by place and then node."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("place", "node")))
+
+
+def _open_groups(rare: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The rows of split groups by rank (place, then node), without members that differ too much from all that may still be
+    compared with them: of two sets whose rarest shared shingle has places i and j, at least i + j members differ."""
+    least = F.min(F.when(F.col("rank") > 1, F.col("place"))).over(Window.partitionBy("k"))
+    ranked = _ranked(_split(rare, roots)).withColumn("next", least)
+    return ranked.where(f"place + next <= n * {100 - percent} div {percent}")
 
 
 def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,25 +352,27 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     # searched by their rarest shingles, where such passages don't count; a similar pair shares one of these for certain.
     apart = _split(kept, roots).select("node").distinct()
     rare = written(_rarest(sets.join(apart, "node", "left_semi"), percent), "rarest")
-    links = written(links.unionByName(_linked(_alike(_stars(rare), sizes, percent), sets, percent)).distinct(), "links")
-    roots = components(links)
-
-    # what these still leave apart: members in turn against their whole group, until none is left
+    # first the member of least place in each group against the others, then members in turn, until no pair is left
     turn = 0
     while True:
-        order = Window.partitionBy("k").orderBy("node")
-        ranked = written(_split(rare, roots).withColumn("rank", F.row_number().over(order)), "split-groups")
-        first = 1 + turn * CENTERS  # the first member has been compared
-        if ranked.where(F.col("rank") > first + 1).isEmpty():
+        ranked = _ranked(_split(rare, roots)) if turn == 0 else _open_groups(rare, roots, percent)
+        ranked = written(ranked.select("k", "node", "n", "place", "root", "rank"), "open-groups")
+        first = 1 if turn == 0 else 2 + (turn - 1) * CENTERS
+        last = 1 if turn == 0 else first + CENTERS - 1
+        if ranked.where(F.col("rank") > first).isEmpty():
             break
-        centers = ranked.where(F.col("rank").between(first + 1, first + CENTERS))
-        centers = centers.select("k", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("rank").alias("r"))
-        differ = (ranked["k"] == centers["k"]) & (ranked["root"] != centers["ru"]) & (ranked["rank"] > centers["r"])
-        pairs = ranked.join(centers, differ).select("u", F.col("node").alias("v")).distinct()
-        more = written(_linked(_alike(pairs, sizes, percent), sets, percent), "links")
+        pairs = ranked.alias("v").join(
+            ranked.where(F.col("rank").between(first, last)).alias("u"),
+            F.expr(
+                "u.k = v.k and u.root <> v.root and u.rank < v.rank and 100 * least(u.n, v.n) >= {p} * greatest(u.n, v.n)"
+                " and u.place + v.place <= (u.n + v.n) * {q} div {r}".format(p=percent, q=100 - percent, r=100 + percent)
+            ),
+        )
+        pairs = pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+        more = written(_linked(pairs, sets, percent), "links")
         turn += 1
         if not more.isEmpty():
-            links = links.unionByName(more)
+            links = written(links.unionByName(more), "links")
             roots = components(links)
 
     every = _rooted(nodes.select("__key", "n", "node"), roots)
