@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodemap.functions import labels
 from lodemap.functions.geometry import calibrated, matrix, transformed, transformed_back
-from lodemap.operators import filters, graph, masks, merge, metrics, spatial
+from lodemap.operators import filters, graph, masks, merge, metrics, sampling, spatial
 from lodemap.sources import readers, sinks
 
 PRED = [0, 0, 1, 1, 1, 1, 2, 2, 2, 3, 3, 4]
@@ -144,3 +144,31 @@ def test_empty_tables(spark):
     assert metrics.precision_recall(metrics.contingency(none)).first().f1 is None
     assert filters.suppress_small(none, "pred", 5).count() == 0
     assert graph.affinity_edges(none, 1.0).count() == 0
+
+
+def test_samples_are_the_same_again(spark):
+    df = spark.range(200).select(F.col("id").alias("point_id"), (F.col("id") % 4).alias("frame"))
+    first, again = (sorted(r.point_id for r in sampling.sampled(d, 20, 3).collect()) for d in (df, df.repartition(7)))
+    assert first == again and len(set(first)) == 20
+    assert {r["count"] for r in sampling.sampled_per_group(df, 5, 1, "frame").groupBy("frame").count().collect()} == {5}
+
+
+def test_augmentation_keeps_shapes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(c, i, *map(float, rng.normal(size=3))) for c in (0, 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "frame int, point_id long, x double, y double, z double")
+    out = {(r.frame, r.point_id): np.array([r.x, r.y, r.z]) for r in sampling.augmented(df, "frame", 5).collect()}
+    for c in (0, 1):
+        before = np.array([r[2:] for r in rows if r[0] == c])
+        after = np.array([out[c, i] for i in range(6)])
+        share = np.linalg.norm(after[1:] - after[0], axis=1) / np.linalg.norm(before[1:] - before[0], axis=1)
+        assert np.allclose(share, share[0]) and 0.95 <= share[0] <= 1.05
+
+
+def test_ground_plane_is_found(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, i, float(x), float(y), float(0.1 * x + 0.01 * rng.normal())) for i, (x, y) in enumerate(rng.uniform(-5, 5, (80, 2)))]
+    rows += [(0, 100 + i, float(x), float(y), 2.0 + float(z)) for i, (x, y, z) in enumerate(rng.uniform(0, 3, (30, 3)))]
+    df = spark.createDataFrame(rows, "frame int, point_id long, x double, y double, z double")
+    marked = {r.point_id for r in sampling.ground_planes(df, "frame", 0.1).where("is_ground").collect()}
+    assert set(range(80)) <= marked and len(marked) < 90
