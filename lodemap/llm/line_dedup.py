@@ -145,18 +145,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     more, differs from it in one inserted, deleted or replaced word. Lines are cut at newlines and words at ASCII white
     space; lines without a word stay. A null text stays null with no lines; an empty one has one line and stays; documents
     whose lines all go stay with an empty text. Rows of equal key and text are one document and fare alike. An empty table
-    gives no rows. Other columns pass through.
+    gives no rows. Other columns pass through, but for ones named as the two that are added.
     """
     gone = repeated_lines(docs, key, text, least_words).groupBy(F.col("at.doc").alias("__doc"))
     gone = gone.agg(F.collect_set("at.no").alias("__gone"))  # as long as the document at most
     gone = gone.select(F.col("__doc.key").alias("__key"), F.col("__doc.body").alias("__body"), "__gone")
     gone = written(gone, "gone")
-    rows = docs.withColumn("__hash", F.xxhash64(text))
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__body"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64(text).alias("__hash"))
+    same = F.col("__row")[key].eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__body"))
     rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left")
-    left = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(__gone, i)), '\\n')")
+    cut = F.split(F.col("__row")[text], "\n", -1)
+    left = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    body = F.when(F.col("__gone").isNull(), F.col("__row")[text]).otherwise(left)
+    own = [(body if c == text else F.col("__row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return rows.select(
-        *(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+        *own,
+        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

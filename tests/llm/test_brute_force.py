@@ -209,6 +209,9 @@ def test_line_dedup_cases(spark, none):
     assert out == want
     assert line_dedup.dedup_lines(df).where("doc_id = 4").first().text is None
     assert line_dedup.dedup_lines(none.select("doc_id", "text")).count() == 0
+    clashing = df.selectExpr("doc_id", "1 as n_lines", "text", "2 as __hash", "3 as __key", "'x' as at", "4 as h1", "5 as words")
+    again = line_dedup.dedup_lines(clashing).where("doc_id <> 4").collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in again) == want and {r["__key"] for r in again} == {3}
 
 
 def test_toxicity_held_out(spark, docs, none):
