@@ -292,12 +292,13 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("place", "node")))
 
 
-def _open_groups(rare: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The rows of split groups by rank (place, then node), without members that differ too much from all that may still be
-    compared with them: of two sets whose rarest shared shingle has places i and j, at least i + j members differ."""
-    least = F.min(F.when(F.col("rank") > 1, F.col("place"))).over(Window.partitionBy("k"))
-    ranked = _ranked(_split(rare, roots)).withColumn("next", least)
-    return ranked.where(f"place + next <= n * {100 - percent} div {percent}")
+def _open_groups(rare: DataFrame, roots: DataFrame, percent: int, done: int) -> DataFrame:
+    """The rows of split groups behind the ``done`` first ranks, which have been compared with all, without members that differ
+    too much from every other one: of two sets whose rarest shared shingle has places i and j, at least i + j members differ."""
+    ranked = _ranked(_split(rare, roots)).where(F.col("rank") > done)
+    by_key = Window.partitionBy("k")
+    near = ranked.withColumn("next", F.min("place").over(by_key)).where(f"place + next <= n * {100 - percent} div {percent}")
+    return near.withColumn("left", F.count("*").over(by_key)).where("left > 1")
 
 
 def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,16 +354,16 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     apart = _split(kept, roots).select("node").distinct()
     rare = written(_rarest(sets.join(apart, "node", "left_semi"), percent), "rarest")
     # first the member of least place in each group against the others, then members in turn, until no pair is left
-    turn = 0
+    done = 0
     while True:
-        ranked = _ranked(_split(rare, roots)) if turn == 0 else _open_groups(rare, roots, percent)
-        ranked = written(ranked.select("k", "node", "n", "place", "root", "rank"), "open-groups")
-        first = 1 if turn == 0 else 2 + (turn - 1) * CENTERS
-        last = 1 if turn == 0 else first + CENTERS - 1
-        if ranked.where(F.col("rank") > first).isEmpty():
+        ranked = _open_groups(rare, roots, percent, done).select("k", "node", "n", "place", "root", "rank")
+        ranked = written(ranked, "open-groups")
+        first = ranked.agg(F.min("rank")).first()[0]
+        if first is None:
             break
+        last = first + CENTERS - 1 if done else 1
         pairs = ranked.alias("v").join(
-            ranked.where(F.col("rank").between(first, last)).alias("u"),
+            ranked.where(F.col("rank") <= last).alias("u"),
             F.expr(
                 "u.k = v.k and u.root <> v.root and u.rank < v.rank and 100 * least(u.n, v.n) >= {p} * greatest(u.n, v.n)"
                 " and u.place + v.place <= (u.n + v.n) * {q} div {r}".format(p=percent, q=100 - percent, r=100 + percent)
@@ -370,7 +371,7 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
         )
         pairs = pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
         more = written(_linked(pairs, sets, percent), "links")
-        turn += 1
+        done = last
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
             roots = components(links)
