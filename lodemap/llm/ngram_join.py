@@ -3,7 +3,8 @@
 Two sets of a and b members with a Jaccard similarity of at least p % differ in at most (a + b)(100 - p) / (100 + p) members.
 The universe of shingles is dealt by hash into segments, as many as make it certain that two such sets agree in some of
 them: entirely, or but for one member where a segment also has its one-deletion neighbourhood. Sets that share a key of a
-segment are compared exactly. Equal sets are one node from the start.
+segment with another set are candidates; which of them to compare, their rarest shingles tell, and every comparison is
+exact. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -253,12 +254,6 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return found.withColumn("root", F.coalesce("root", "node"))
 
 
-def _stars(kept: DataFrame) -> DataFrame:
-    """Each key's least node with each of its others."""
-    centers = kept.groupBy("k").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u <> hi").select("k", "u")
-    return kept.join(centers, "k").where("node <> u").select("u", F.col("node").alias("v")).distinct()
-
-
 def _split(kept: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows, with their roots, of the keys that join several components."""
     grouped = _rooted(kept, roots)
@@ -338,7 +333,6 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     chosen = nodes.join(wanted, "node", "left_semi").groupBy("node", "n").agg(F.min(F.struct("__key", "body")).alias("at"))
     chosen = written(chosen.select("node", "n", F.col("at.__key").alias("the_key"), F.col("at.body").alias("the_body")), "compared")
     compared = chosen.count()
-    sizes = chosen.select("node", "n")
     bodies = _texts(docs, key, text)
     same = F.col("__key").eqNullSafe(F.col("the_key")) & (F.col("body") == F.col("the_body"))
     found = bodies.join(F.broadcast(chosen) if compared <= BROADCAST_KEYS else chosen, same)
@@ -346,13 +340,11 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     if sets.count() > compared:  # rows that repeat key and text
         sets = written(sets.dropDuplicates(["node"]), "sets")
 
-    links = written(_linked(_alike(_stars(kept), sizes, percent), sets, percent), "links")
-    roots = components(links)
-
-    # Keys that still join several components are mostly those of passages that many texts share. The sets behind them are
-    # searched by their rarest shingles, where such passages don't count; a similar pair shares one of these for certain.
-    apart = _split(kept, roots).select("node").distinct()
-    rare = written(_rarest(sets.join(apart, "node", "left_semi"), percent), "rarest")
+    # Common keys are mostly those of passages that many texts share. The sets that share any key are searched by their
+    # rarest shingles, where such passages don't count; a similar pair shares one of these for certain.
+    rare = written(_rarest(sets, percent), "rarest")
+    links = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "node long, root long")
     # first the member of least place in each group against the others, then members in turn, until no pair is left
     done = 0
     while True:
@@ -382,12 +374,6 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "__key").alias("component_id"))
 
 
-def _alike(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes allow the similarity."""
-    sized = pairs.join(sizes.withColumnsRenamed({"node": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"node": "v", "n": "nv"}), "v")
-    return sized.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v")
-
-
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the least key of each component, with all their columns; of rows that repeat a key, where links reach
     them, the one of least text stays. Rows without shingles all stay."""
