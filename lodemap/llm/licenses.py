@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +24,118 @@ BAND = 8
 #: The part of a template's words that a report needs, in percent.
 LEAST_COVERAGE = 70
 
-#: Notices by which texts state their license, and openings of the licenses themselves.
+#: Whole licenses, a file each.
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def _gnu(name: str, title: str, version: str, work: str) -> dict[str, str]:
+    terms = f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {title}"
+    return {
+        f"{name} short": f"This work is licensed under the {title}, version {version}.",
+        f"{name} only": f"{terms} version {version} as published by the Free Software Foundation.",
+        name: f"{terms} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+        "later version.",
+    }
+
+
+def _creative_commons() -> dict[str, str]:
+    kinds = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial"}
+    kinds |= {"BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    out = {}
+    for kind, title in kinds.items():
+        for version, port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+            name = f"CC-{kind}-{version}"
+            short, long = (name, f"{name} notice") if kind in ("BY", "BY-NC") else (f"{name} short", name)
+            out[short] = f"Licensed under CC {kind} {version}."
+            out[long] = f"This work is licensed under a Creative Commons {title} {version} {port} License."
+    return out
+
+
+#: Notices by which texts state their license, openings, and the whole licenses of ``TEXTS`` as "... text".
 TEMPLATES = {
     "Apache-2.0 short": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
     "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
     "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
     "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
     "the following conditions are met",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0 short": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause short": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause short": "Released under the BSD 3-Clause License.",
+    "CC0-1.0 short": "Released under CC0 1.0.",
+    "CC0-1.0": "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
     "provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC short": "Released under the ISC License.",
     "MIT short": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
     "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this "
+    "file except in compliance with the License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    **_gnu("AGPL-3.0", "GNU Affero General Public License", "3", "program"),
+    **_gnu("GPL-2.0", "GNU General Public License", "2", "program"),
+    **_gnu("GPL-3.0", "GNU General Public License", "3", "program"),
+    **_gnu("LGPL-2.0", "GNU Library General Public License", "2", "library"),
+    **_gnu("LGPL-2.1", "GNU Lesser General Public License", "2.1", "library"),
+    **_gnu("LGPL-3.0", "GNU Lesser General Public License", "3", "library"),
+    **_creative_commons(),
+    **{f"{p.stem} text": re.sub(r"^\W+|\W+$", "", p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))},
 }
 
+
+def _keys(name: str) -> list[str]:
+    """What tells a license from its neighbours: patterns over folded words that must all be in the aligned part; one that
+    starts with ``!`` must not."""
+    license, _, form = name.partition(" ")
+    version = license.rpartition("-")[2].replace(".", " ")
+    if "GPL" in license:
+        if form == "text":
+            titles = {
+                "GPL-2.0": r"\bversion 2 june 1991\b|the gnu general public license is intended to guarantee your freedom",
+                "GPL-3.0": r"(?<!affero )general public license version 3 29 june|the gnu general public license is a free copyleft license"
+                r"|13 use with the gnu affero general public license",
+                "LGPL-2.0": r"\blibrary general public license\b", "LGPL-2.1": r"\blesser general public license\b",
+                "LGPL-3.0": r"\blesser general public license\b",
+            }
+            return [titles[license], *(["!library general public license version 2"] if license == "GPL-2.0" else [])]
+        titles = {"AGPL": r"\baffero general public license\b|\bagpl", "LGPL": r"\b(?:lesser|library) general public license\b|\blgpl"}
+        plain = r"(?<!affero )(?<!lesser )(?<!library )\bgeneral public license\b|\bgpl"
+        number = version.removesuffix(" 0")
+        return [titles.get(license.partition("-")[0], plain), rf"\b(?:version |v|[al]?gplv|[al]?gpl ){number}\b(?! [1-9]\b)"]
+    if license.startswith("CC-"):
+        if form == "text":
+            return [r"\battribution", *(["sharealike"] if "-SA" in license else ["!sharealike"]), "!noncommercial", "!noderivatives"]
+        kind = license[3:].rpartition("-")[0].lower().replace("-", " ")
+        words = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?(?: works)?", "nc": "non ?commercial"}
+        title = " ".join(words[k] for k in kind.split())
+        number = version.removesuffix(" 0")
+        return [rf"\b(?:(?:cc|creative commons) {kind}|creative commons {title}) {number}\b(?! [1-9]\b)"]
+    return {
+        "Apache-2.0 short": [r"\bapache (?:software )?license\b", r"\b(?:version |v|license )2\b(?! [1-9]\b)"],
+        "Apache-2.0": [r"\bapache (?:software )?license\b", r"\b(?:version |v|license )2\b(?! [1-9]\b)"],
+        "BSD-2-Clause short": [r"\bbsd 2 clause\b"],
+        "BSD-3-Clause short": [r"\bbsd 3 clause\b"],
+        "BSD-2-Clause text": ["!neither the name", "!all advertising materials mentioning"],
+        "BSD-3-Clause text": ["neither the name", "!all advertising materials mentioning"],
+        "CC0-1.0 short": [r"\bcc0\b"],
+        "CC0-1.0": [r"\bcc0\b"],
+        "EPL-1.0": [r"\beclipse public license (?:version |v )?v?1\b"],
+        "EPL-2.0": [r"\beclipse public license (?:version |v )?v?2\b"],
+        "ISC text": [r"provided that the above copyright notice"],
+        "0BSD text": [r"!provided that the above copyright notice"],
+        "ISC short": [r"\bisc license\b"],
+        "MIT short": [r"\bmit license\b"],
+        "MIT text": [r"\bthe above copyright notice and this permission notice\b"],
+        "MPL-1.1": [r"\bmozilla public license (?:version |v )?v?1 1\b"],
+        "MPL-2.0": [r"\bmozilla public license (?:version |v )?v?2\b"],
+    }.get(name, [])
+
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -81,6 +169,12 @@ class Templates:
             prints = fingerprints(words)
             for i in winnowed(prints).tolist():
                 self.index.setdefault(int(prints[i]), []).append((t, i))
+        self.keys = [_keys(n) if self.texts[n] == TEMPLATES.get(n) else [] for n in self.names]
+        self.wanted = [[re.compile(k.encode()) for k in keys if k[0] != "!"] for keys in self.keys]
+        self.barred = [[re.compile(k[1:].encode()) for k in keys if k[0] == "!"] for keys in self.keys]
+        self.number = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        self.ids = [np.array([self.number[w] for w in words], np.int64) for words in self.words]
+        self.counts = [np.bincount(ids, minlength=len(self.number)) for ids in self.ids]
         # the first words of runs with a fingerprint, so that the runs of a text that can have none aren't hashed
         self.first = {self.words[t][i] for hits in self.index.values() for t, i in hits}
 
@@ -95,6 +189,41 @@ class Templates:
                     out.add((t, i - j))
         return out
 
+    def close(self, words: list[bytes], least: int) -> Iterator[tuple[int, int]]:
+        """The candidates whose alignment can reach ``least`` %: as many of the template's words stand within the band. Those of
+        a template are in order of that number."""
+        by_template: dict[int, list[int]] = {}
+        for t, diagonal in self.candidates(words):
+            by_template.setdefault(t, []).append(diagonal)
+        if not by_template:
+            return
+        text = np.array([self.number.get(w, -1) for w in words], np.int64)
+        held = np.bincount(text[text >= 0], minlength=len(self.number))
+        for t, diagonals in sorted(by_template.items()):
+            ids = self.ids[t]
+            n = len(ids)
+            if 100 * int(np.minimum(held, self.counts[t]).sum()) < least * n:
+                continue
+            padded = np.full(len(text) + 2 * (n + 2 * BAND), -1, np.int64)
+            padded[n + 2 * BAND : n + 2 * BAND + len(text)] = text
+            bounds = []
+            for diagonal in diagonals:
+                at = n + BAND + diagonal
+                near = np.zeros(n, bool)
+                for o in range(2 * BAND + 1):
+                    near |= padded[at + o : at + o + n] == ids
+                if 100 * int(near.sum()) >= least * n:
+                    bounds.append((-int(near.sum()), diagonal))
+            yield from ((t, diagonal) for _, diagonal in sorted(bounds))
+
+    def told(self, t: int, words: list[bytes], start: int, end: int) -> bool:
+        """Whether the aligned words have what tells the license from its neighbours."""
+        span = b" ".join(words[start:end])
+        more = b" ".join(words[start : end + 2])
+        return all(any(m.end() <= len(span) for m in k.finditer(more)) for k in self.wanted[t]) and not any(
+            k.search(span) for k in self.barred[t]
+        )
+
 
 def align(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """The longest common subsequence within ``band`` of a diagonal: words matched, and the first and last place in the text
@@ -127,10 +256,16 @@ def find_licenses(text: bytes, templates: Templates, least: int = LEAST_COVERAGE
     folded = text.translate(FOLD)
     words = folded.split()
     found = []
-    for t, diagonal in sorted(templates.candidates(words)):
-        matched, start, end = align(templates.words[t], words, diagonal)
+    full: set[tuple[int, int]] = set()
+    for t, diagonal in templates.close(words, least):
         size = len(templates.words[t])
-        if 100 * matched >= least * size:
+        # a long template within reach of a full match overlaps it and can't match more
+        if size > 4 * BAND and any((t, diagonal + o) in full for o in range(-BAND, BAND + 1)):
+            continue
+        matched, start, end = align(templates.words[t], words, diagonal)
+        if matched == size:
+            full.add((t, diagonal))
+        if 100 * matched >= least * size and templates.told(t, words, start, end):
             found.append((-matched, size - matched, start, end, t))
     kept: list[tuple[int, int, int, int, int]] = []
     for f in sorted(set(found)):
