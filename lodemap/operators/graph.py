@@ -12,9 +12,6 @@ from lodemap.functions.affinity import feature_distance, kernel
 from .spatial import grid_join, self_pairs
 from .stages import cut
 
-#: Points of one chunk that a dense decomposition takes; a larger graph is cut into its components first.
-DENSE = 3_000
-
 
 def affinity_edges(
     df: DataFrame, alpha: float, theta: float = 0.0, feature: str | None = None, radius: float = 1.0, missing: str = "neutral",
@@ -47,20 +44,6 @@ def isolated_removed(df: DataFrame, edges: DataFrame, key: str = "point_id") ->
     return df.join(edges.select(F.explode(F.array("i", "j")).alias(key)).distinct(), key, "left_semi")
 
 
-def _parts(w: np.ndarray) -> list[np.ndarray]:
-    """Connected components of a dense graph."""
-    n, label = len(w), np.full(len(w), -1)
-    for seed in range(n):
-        if label[seed] >= 0:
-            continue
-        front = np.array([seed])
-        label[front] = seed
-        while len(front):
-            front = np.flatnonzero((w[front] > 0).any(axis=0) & (label < 0))
-            label[front] = seed
-    return [np.flatnonzero(label == s) for s in np.unique(label)]
-
-
 def best_split(w: np.ndarray, cuts: int = 10) -> tuple[np.ndarray | None, float]:
     """The least normalized cut among evenly spaced thresholds of the second eigenvector; none for a constant one."""
     n = len(w)
@@ -86,10 +69,9 @@ def best_split(w: np.ndarray, cuts: int = 10) -> tuple[np.ndarray | None, float]
 
 def recursive_cut(w: np.ndarray, threshold: float, least_share: float = 0.01) -> np.ndarray:
     """A label for each point: groups are split while their best cut costs less than ``threshold``, and they hold more than a
-    share of the points and more than two. Labels are numbered by their first point."""
+    share of the points and more than two, whether connected or not. Labels are numbered by their first point."""
     n = len(w)
-    todo = _parts(w) if n > DENSE else [np.arange(n)]
-    leaves = []
+    todo, leaves = [np.arange(n)], []
     while todo:
         ids = todo.pop()
         if len(ids) > 2 and len(ids) > least_share * n:
