@@ -17,8 +17,6 @@ from .decontam import FOLD
 
 #: Labelled rows to learn from, at most, of each class; by hash of the key, so the same ones on every run.
 TRAIN_TOXIC, TRAIN_CLEAN = 4_000, 8_000
-#: Distinct terms of one labelled text to learn from, at most (those of least hash). Scoring uses all of them.
-TRAIN_TERMS = 20_000
 #: A term has weights if as many labelled texts have it and its G-statistic against the label is as large.
 LEAST_TEXTS, LEAST_G = 3, 8.0
 #: Terms with weights, at most: those of the largest G-statistic.
@@ -140,7 +138,7 @@ def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            hashed = [sorted(map(term_hash, terms(x)))[:TRAIN_TERMS] for x in utf8(block, "__text")]
+            hashed = [sorted(map(term_hash, terms(x))) for x in utf8(block, "__text")]
             columns = [block.column("__key"), block.column("toxic"), pa.array(hashed, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["__key", "toxic", "terms"])
 
