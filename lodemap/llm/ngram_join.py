@@ -296,17 +296,8 @@ def _open_groups(rare: DataFrame, roots: DataFrame, percent: int, done: int) ->
     return near.withColumn("left", F.count("*").over(by_key)).where("left > 1")
 
 
-def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every row: documents whose sets of distinct k-word shingles have a Jaccard
-    similarity of ``percent`` or more are linked, and a component's id is the least key that links reach.
-
-    Words are runs without ASCII white space, A-Z in lower case; with fewer than k words the whole sequence is one shingle.
-    Null, empty and wordless texts have no shingles and no links. Rows of equal sets are one node, so copies cost a row each;
-    repeated keys are rows of their own, and a null key is never the least unless a component has no other. Other columns are
-    ignored; an empty table gives no rows. No pair of different sets that reaches the similarity is lost: components are
-    exact. Shingles are told apart by 64-bit hashes, sets by 128 bits.
-    """
-    spark = docs.sparkSession
+def _compared(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node of every row, the sets of the nodes that are compared, and the rarest shingles of these."""
     count = docs.count()
     seed = 0
     while True:
@@ -342,7 +333,13 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
 
     # Common keys are mostly those of passages that many texts share. The sets that share any key are searched by their
     # rarest shingles, where such passages don't count; a similar pair shares one of these for certain.
-    rare = written(_rarest(sets, percent), "rarest")
+    return nodes, sets, written(_rarest(sets, percent), "rarest")
+
+
+def _search(rare: DataFrame, sets: DataFrame, percent: int, joined: bool) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) and roots. With ``joined``, pairs that links already join are skipped, which leaves components exact;
+    without it all links are found, some repeatedly or turned, and there are no roots."""
+    spark = rare.sparkSession
     links = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
     # first the member of least place in each group against the others, then members in turn, until no pair is left
@@ -366,7 +363,22 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
         done = last
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
-            roots = components(links)
+            roots = components(links) if joined else roots
+    return links, roots
+
+
+def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id of every row: documents whose sets of distinct k-word shingles have a Jaccard
+    similarity of ``percent`` or more are linked, and a component's id is the least key that links reach.
+
+    Words are runs without ASCII white space, A-Z in lower case; with fewer than k words the whole sequence is one shingle.
+    Null, empty and wordless texts have no shingles and no links. Rows of equal sets are one node, so copies cost a row each;
+    repeated keys are rows of their own, and a null key is never the least unless a component has no other. Other columns are
+    ignored; an empty table gives no rows. No pair of different sets that reaches the similarity is lost: components are
+    exact. Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    """
+    nodes, sets, rare = _compared(docs, k, percent, key, text)
+    _, roots = _search(rare, sets, percent, joined=True)
 
     every = _rooted(nodes.select("__key", "n", "node"), roots)
     least = every.where("root is not null").groupBy("root").agg(F.min("__key").alias("least"), F.count("*").alias("c")).where("c > 1")
@@ -374,6 +386,21 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "__key").alias("component_id"))
 
 
+def similarity_links(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and n_links of every row: the number of other rows whose similarity with it, as in
+    ``similarity_classes``, is ``percent`` or more. No link is skipped, so a group of n similar texts costs n² comparisons of its
+    different sets; copies of a set are counted without being compared."""
+    nodes, sets, rare = _compared(docs, k, percent, key, text)
+    links = _search(rare, sets, percent, joined=False)[0]  # a pair can come in either order
+    links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    copies = written(nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("c")), "copies")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    others = both.join(copies.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("c").alias("others"))
+    out = nodes.select("__key", "n", "node").join(copies, "node", "left").join(others, "node", "left")
+    n_links = F.coalesce(F.col("c") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))
+    return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), n_links.alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the least key of each component, with all their columns; of rows that repeat a key, where links reach
     them, the one of least text stays. Rows without shingles all stay."""
