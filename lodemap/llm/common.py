@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -19,12 +20,15 @@ SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (tests) gets a
+    temporary one; on a cluster that is an error, as no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodemap-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,7 +48,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lodemap_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` has made and that nothing reads any more, and lets Spark drop the shuffle files behind
+    them, which it keeps until the driver collects its garbage."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_lodemap_path", None)
+        if path:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def spread(df: DataFrame) -> int:
@@ -88,13 +107,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled(docs: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
-    """A bounded sample: the rows of least key hash, and of those as many as ``most`` bytes hold."""
+    """A bounded sample: of the rows of least hash of key and text, those that ``most`` bytes hold; one that doesn't fit is
+    passed over. Repeated keys are told apart by their texts, and copies of a row count once."""
     body = F.coalesce(F.col(text), F.lit("")).alias("__text")
-    few = docs.select(F.xxhash64(key).alias("__at"), F.col(key).alias("__key"), F.octet_length(body).alias("__n"))
-    ids = few.orderBy("__at").limit(rows)
+    few = docs.select(F.xxhash64(key, text).alias("__at"), F.octet_length(body).alias("__n"))
     chosen, held = [], 0
-    for row in ids.collect():
-        held += row["__n"]
-        if held <= most and row["__key"] is not None:
-            chosen.append(row["__key"])
-    return [r[0].encode() for r in docs.where(F.col(key).isin(chosen)).select(body).limit(rows).collect()]
+    for row in few.orderBy("__at").limit(rows).collect():
+        if held + row["__n"] <= most and row["__at"] not in chosen:
+            held += row["__n"]
+            chosen.append(row["__at"])
+    found = docs.select(F.xxhash64(key, text).alias("__at"), body).where(F.col("__at").isin(chosen)).dropDuplicates(["__at"])
+    return [r[0].encode() for r in found.orderBy("__at").select("__text").collect()]

@@ -2,14 +2,20 @@
 
 Two sets of a and b members with a Jaccard similarity of at least p % differ in at most (a + b)(100 - p) / (100 + p) members.
 The universe of shingles is dealt by hash into segments, as many as make it certain that two such sets agree in some of
-them: entirely, or but for one member where a segment also has its one-deletion neighbourhood. Sets that share a key of a
-segment with another set are candidates; which of them to compare, their rarest shingles tell, and every comparison is
-exact. Equal sets are one node from the start.
+them: their subsets inside a segment are equal, or equal but for one member where a segment also has its one-deletion
+neighbourhood. Sets that share such a key are candidates, and every comparison is exact. Equal sets are one node from the
+start.
+
+The sets of a key are never all compared with each other. One of them, the pivot, is compared with the others; they are its
+star. What they have in common with the pivot can't tell them apart, so the next index holds their differences from it: two
+similar sets of a star, not both linked to the pivot, share a difference (``_prefixes``). A group of near copies of one
+text, or of texts with one passage, thus falls apart into small groups, in as many rows as the differences are.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,18 +27,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8, written
+from .common import blocks, discard, sampled, utf8, written
 
 #: Keys of documents, at most, that are broadcast to fetch their texts again; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Members of a group of rare shingles that are compared with all of it in one round, after the round against its first member.
+#: Members of a group of differences, at most, that are compared directly; a larger group gets a pivot.
+SMALL_GROUP = 16
+#: Members of a key that are compared with its later ones in one round, when every link is wanted.
 CENTERS = 32
+#: Distinct sets, about, from which common keys are told, keys that are treated as common, at most, and the sets of the sample
+#: that hold one of these at least. Other keys meet in one task each.
+HOT_SETS, HOT_KEYS, HOT_TIMES = 5_000, 20_000, 10
+#: Set ids that a task remembers, in order not to emit the keys of a copy again.
+REMEMBERED = 200_000
+#: Sets of the sample that segments are allotted by.
+ALLOT_SETS = 300
 #: Rows of edges or roots that make a partition of their own.
 ROWS_A_PART = 200_000
 #: Rows of keys that one wrong candidate costs as much as, when segments are allotted.
 CANDIDATE_COST = 8.0
-#: What a segment's key weighs less than 64 bits: the band is in the upper bits.
-_KEY_BITS = 57
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -114,33 +127,65 @@ def _poisson_above(mean: float, most: int) -> float:
     return max(0.0, 1 - total)
 
 
-@lru_cache(maxsize=8)
-def bands(percent: int, docs: int, largest: int = 1 << 40) -> tuple[Band, ...]:
-    """Bands over all sizes. Each gets the allotment of least cost: rows of keys, plus the candidates that empty segments are
-    expected to make among ``docs`` documents."""
+def _edges(percent: int, largest: int) -> list[tuple[int, int]]:
+    """The bands' least and largest sizes of the smaller set of a pair, up to a band that holds ``largest``."""
     out, low = [], 1
-    while low <= largest and len(out) < 64:
+    while not out or low <= largest:
         high = low * 10_000 // (percent * percent)
-        apart = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-        best = (math.inf, 0, 0, 0)
-        for near in range(min((apart + 2) // 2, 8) + 1):
-            exact = max(0, apart + 1 - 2 * near)
-            slack = max(1, exact // 8) if exact else 0
-            exact += 2 * slack if near else slack  # a near segment's two may be one key
-            segments = near + exact
-            empty = math.exp(-low / segments)
-            rows = exact + near + low * near / segments
-            wrong = docs * empty * (near + min(exact, 1) * _poisson_above(exact * empty, slack))
-            best = min(best, (rows + CANDIDATE_COST * wrong, near, exact, slack))
-        out.append(Band(len(out), low, high, apart, *best[1:]))
+        out.append((low, high))
         low = high + 1
+    return out
+
+
+@lru_cache(maxsize=8)
+def bands(percent: int, docs: int, largest: int = 1 << 33) -> tuple[Band, ...]:
+    """Bands over all sizes. Each gets the allotment of least cost: rows of keys, plus the candidates that empty segments are
+    expected to make among ``docs`` documents."""
+    out = []
+    for number, (low, high) in enumerate(_edges(percent, largest)):
+        options = []
+        for band in _allotments(percent, number, low, high):
+            segments = band.near + band.exact
+            empty = math.exp(-low / segments) if segments else 0.0
+            wrong = docs * empty * (band.near + min(band.exact, 1) * _poisson_above(band.exact * empty, band.slack))
+            options.append((segments + low * band.near / max(segments, 1) + CANDIDATE_COST * wrong, band))
+        out.append(min(options, key=lambda x: x[0])[1])
     return tuple(out)
 
 
+def _allotments(percent: int, number: int, low: int, high: int) -> Iterator[Band]:
+    """Every allotment of a band that is exact: by the number of segments with one-deletion neighbourhoods."""
+    apart = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+    for near in range(min((apart + 2) // 2, 8) + 1):
+        exact = max(0, apart + 1 - 2 * near)
+        slack = max(1, exact // 8) if exact else 0
+        yield Band(number, low, high, apart, near, exact + (2 * slack if near else slack), slack)  # a near segment's two may be one key
+
+
+def allotted(percent: int, docs: int, sample: list[np.ndarray], largest: int = 1 << 33) -> tuple[Band, ...]:
+    """``bands``, and where the sample has sets of a band, the allotment that costs least by what it shows: rows of keys a set,
+    and the candidates that its keys make, as many times as there are more documents than sets in the sample."""
+    table = list(bands(percent, docs, largest))
+    sizes = np.array([len(s) for s in sample])
+    for band in table:
+        own = [sample[i] for i in np.flatnonzero((sizes >= band.low) & (sizes * percent <= 100 * band.high))]
+        if len(own) < 8 or not band.apart:
+            continue
+        options = []
+        for option in _allotments(percent, band.number, band.low, band.high):
+            keys = [segment_keys(s, option) for s in own]
+            _, times = np.unique(np.concatenate(keys), return_counts=True)
+            common = np.sort(times)[: len(times) - option.slack]  # about what sets leave out
+            wrong = float((common * (common - 1)).sum()) / len(own) * docs / len(sample)
+            options.append((sum(map(len, keys)) / len(own) + CANDIDATE_COST * wrong, option))
+        table[band.number] = min(options, key=lambda x: x[0])[1]
+    return tuple(table)
+
+
 def band_numbers(size: int, table: tuple[Band, ...], percent: int) -> list[int]:
-    """The bands in which a set of this size can be one of a pair: its own, and the one before it if its partner may be there."""
-    own = next(b.number for b in table if size <= b.high)
-    return [i for i in (own - 1, own) if i >= 0 and size * percent <= 100 * table[i].high or i == own]
+    """The bands in which a set of this size can be one of a pair: its own, and before it the one that its partner may be in."""
+    own = bisect_left(table, size, key=lambda b: b.high)
+    return [i for i in (own, own - 1) if i >= 0 and (i == own or size * percent <= 100 * table[i].high)]
 
 
 def segment_keys(members: np.ndarray, band: Band) -> np.ndarray:
@@ -159,26 +204,37 @@ def segment_keys(members: np.ndarray, band: Band) -> np.ndarray:
     if band.near:
         inside = place < band.near
         keys.append(_mixed(_mixed((sums[place[inside]] - members[inside]) ^ salt) + place[inside].astype(np.uint64) * _A))
-    found = np.concatenate(keys) >> _U(64 - _KEY_BITS)
-    return (found | _U(band.number << _KEY_BITS)).astype(np.int64)
+    return _mixed(np.concatenate(keys) ^ salt).astype(np.int64)
 
 
 # --- the join ----------------------------------------------------------------------------------------------------------
 
 
-def _nodes(docs: DataFrame, key: str, text: str, k: int, percent: int, count: int, seed: int) -> DataFrame:
-    """__key, body (a hash of the text), n, node (an id of the set, null when empty), check (another one) and its keys."""
+def _nodes(docs: DataFrame, key: str, text: str, k: int, percent: int, table: tuple[Band, ...], seed: int) -> DataFrame:
+    """__key, body (a hash of the text), n, node (an even id of the set, null when empty), check (another one), and the keys of
+    the set with their number in its own band and the slack of both bands. Of the copies of a set that a task sees in a row the
+    first one has keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bands(percent, count)
+        seen: set[int] = set()
+        none = np.zeros(0, np.int64)
         for block in blocks(batches, "__text"):
             sets = shingle_sets(utf8(block, "__text"), k, seed)
-            nodes = [set_id(s, seed) if len(s) else None for s in sets]
+            nodes = [set_id(s, seed) & -2 if len(s) else None for s in sets]
             checks = [set_id(s, seed + 1) if len(s) else None for s in sets]
-            keys = [
-                np.concatenate([segment_keys(s, table[b]) for b in band_numbers(len(s), table, percent)]) if len(s) else []
-                for s in sets
-            ]
+            keys, own, slacks = [], [], []
+            for s, node in zip(sets, nodes, strict=True):
+                found, slack = [none, none], [0, 0]
+                if node is not None and node not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
+                    for i, b in enumerate(band_numbers(len(s), table, percent)):
+                        found[i], slack[i] = segment_keys(s, table[b]), table[b].slack
+                keys.append(np.concatenate(found))
+                own.append(len(found[0]))
+                slacks.append(slack)
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column(0),
@@ -186,13 +242,17 @@ def _nodes(docs: DataFrame, key: str, text: str, k: int, percent: int, count: in
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(checks, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *keys]))),
+                    pa.array(own, pa.int32()),
+                    pa.array([x[0] for x in slacks], pa.int32()),
+                    pa.array([x[1] for x in slacks], pa.int32()),
                 ],
-                names=["__key", "body", "n", "node", "check", "keys"],
+                names=["__key", "body", "n", "node", "check", "keys", "own", "slack0", "slack1"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return _texts(docs, key, text).mapInArrow(run, f"__key {kind}, body long, n long, node long, check long, keys array<long>")
+    schema = f"__key {kind}, body long, n long, node long, check long, keys array<long>, own int, slack0 int, slack1 int"
+    return _texts(docs, key, text).mapInArrow(run, schema)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -210,27 +270,34 @@ def _sets(texts: DataFrame, k: int, seed: int) -> DataFrame:
     return texts.select("node", "__text").mapInArrow(run, "node long, members binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
-    sided = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u")
-    sided = sided.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").select("u", "v", "a", "b")
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v, nu and nv (sizes), d (members that only one has), linked, and delta (these members) of pairs (u, v) of nodes."""
+    sided = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
+    sided = sided.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent)
-                for a, b in zip(batch.column("a"), batch.column("b"), strict=True)
-            ]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return sided.mapInArrow(run, "u long, v long")
+            sizes, deltas = [], []
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                delta = np.setxor1d(a, b, assume_unique=True)
+                sizes.append((len(a), len(b), len(delta)))
+                deltas.append(delta)
+            nu, nv, d = (np.array([x[i] for x in sizes], np.int64) for i in range(3))
+            ends = pa.array(np.cumsum(np.concatenate([np.zeros(1, np.int64), d])), pa.int32())
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *deltas]))
+            linked = pa.array(d * (100 + percent) <= (nu + nv) * (100 - percent))
+            columns = [batch.column("u"), batch.column("v"), pa.array(nu), pa.array(nv), pa.array(d), linked, pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "nu", "nv", "d", "linked", "delta"])
+
+    return sided.mapInArrow(run, "u long, v long, nu long, nv long, d long, linked boolean, delta array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node) of every node of some edges (u, v): each round every node joins its least neighbour,
     then what has joined is one node; the rounds are logarithmic in the longest chain."""
     edges = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    parts = 1 + edges.count() // ROWS_A_PART
+    parts = 1 + edges.count() // ROWS_A_PART  # few edges, few files
 
     def kept(df: DataFrame, what: str) -> DataFrame:
         return written(df.coalesce(parts), what)
@@ -254,117 +321,177 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return found.withColumn("root", F.coalesce("root", "node"))
 
 
-def _split(kept: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows, with their roots, of the keys that join several components."""
-    grouped = _rooted(kept, roots)
-    split = grouped.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    return grouped.join(split, "k", "left_semi")
-
-
-def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """k, node, n (the size) and place (from 0, in the order of frequency): of each set its rarest shingles among these sets,
-    all but ``percent`` % of them and one more. Two sets that are so similar share at least ``percent`` % of the larger one, so
-    the rarest of what they share is among these in both; what stands before it in either is not in the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
-                members = np.frombuffer(raw.as_py(), np.int64)
-                size = len(members)
-                rows = [pa.array(np.full(size, node)), pa.array(np.full(size, size)), pa.array(members)]
-                yield pa.RecordBatch.from_arrays(rows, names=["node", "n", "k"])
-
-    rows = sets.select("node", "members").mapInArrow(run, "node long, n long, k long")
-    often = rows.groupBy("k").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("node").orderBy("c", "k")
-    ranked = rows.join(often, "k").withColumn("rank", F.row_number().over(order))
-    ranked = ranked.withColumn("place", F.col("rank") - 1)
-    return ranked.where(f"c > 1 and place <= n - (n * {percent} + 99) div 100").select("k", "node", "n", "place")
+def _key_rows(nodes: DataFrame) -> DataFrame:
+    """k and owner, a row for each key of a set: the node, plus 1 for the keys of the band before its own."""
+    rows = nodes.where("size(keys) > 0").select("node", "own", F.posexplode("keys").alias("pos", "k"))
+    return rows.select("k", (F.col("node") + (F.col("pos") >= F.col("own")).cast("long")).alias("owner"))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """With the rank in the group, by place and then node."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("place", "node")))
+def _hot_keys(nodes: DataFrame, count: int) -> DataFrame:
+    """The most common keys in a sample of the sets, ``HOT_KEYS`` at most."""
+    part = max(1, count // HOT_SETS)
+    some = _key_rows(nodes.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)).distinct()
+    often = some.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_TIMES)
+    return written(often.orderBy(F.desc("c"), "k").limit(HOT_KEYS).select("k"), "hot-keys")
 
 
-def _open_groups(rare: DataFrame, roots: DataFrame, percent: int, done: int) -> DataFrame:
-    """The rows of split groups behind the ``done`` first ranks, which have been compared with all, without members that differ
-    too much from every other one: of two sets whose rarest shared shingle has places i and j, at least i + j members differ."""
-    ranked = _ranked(_split(rare, roots)).where(F.col("rank") > done)
+def _kept_keys(nodes: DataFrame, count: int) -> DataFrame:
+    """k, node and weight (how often its keys occur): the keys that different sets share, without the most common ones of each
+    set, as many as the slack of its band. The rows of common keys stay where they are: their counts are broadcast."""
+    rows, bounds = _key_rows(nodes), ("min(owner) as lo", "max(owner) as hi", "count(*) as c")
+    hot = _hot_keys(nodes, count)
+    apart = "lo <> hi"
     by_key = Window.partitionBy("k")
-    near = ranked.withColumn("next", F.min("place").over(by_key)).where(f"place + next <= n * {100 - percent} div {percent}")
-    return near.withColumn("left", F.count("*").over(by_key)).where("left > 1")
+    cold = rows.join(F.broadcast(hot), "k", "left_anti")
+    cold = cold.withColumns({"lo": F.min("owner").over(by_key), "hi": F.max("owner").over(by_key), "c": F.count("*").over(by_key)})
+    often = rows.join(F.broadcast(hot), "k").groupBy("k").agg(*map(F.expr, bounds)).where(apart)
+    warm = rows.join(F.broadcast(written(often, "hot-counts")), "k")  # HOT_KEYS rows at most
+    columns = ("k", "owner", "c")
+    shared = written(cold.where(apart).select(*columns).unionByName(warm.select(*columns)), "shared-keys").distinct()
+    slacks = nodes.where("size(keys) > 0").groupBy("node").agg(F.max("slack0").alias("slack0"), F.max("slack1").alias("slack1"))
+    shared = shared.withColumns({"node": F.expr("owner & -2L"), "before": F.expr("owner & 1L")}).join(slacks, "node")
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("node", "before").orderBy(F.desc("c"), "k")))
+    ranked = ranked.withColumn("weight", F.sum("c").over(Window.partitionBy("node")))
+    return written(ranked.where("rank > if(before = 1, slack1, slack0)").select("k", "node", "weight"), "kept-keys")
+
+
+def _node_sets(docs: DataFrame, key: str, text: str, k: int, seed: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and members of the wanted nodes, from one text for each; key and hash find it among the documents."""
+    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__key", "body")).alias("at"))
+    chosen = written(chosen.select("node", F.col("at.__key").alias("the_key"), F.col("at.body").alias("the_body")), "compared")
+    compared = chosen.count()
+    same = F.col("__key").eqNullSafe(F.col("the_key")) & (F.col("body") == F.col("the_body"))
+    found = _texts(docs, key, text).join(F.broadcast(chosen) if compared <= BROADCAST_KEYS else chosen, same)
+    sets = written(_sets(found, k, seed), "sets")
+    if sets.count() > compared:  # rows that repeat key and text
+        sets = written(sets.dropDuplicates(["node"]), "sets")
+    return sets
 
 
-def _compared(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The node of every row, the sets of the nodes that are compared, and the rarest shingles of these."""
+def _indexed(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node of every row, the kept keys of the sets that share one with another set, and these sets."""
     count = docs.count()
+    sample = shingle_sets([t for t in sampled(docs, key, text, ALLOT_SETS)], k)
     seed = 0
     while True:
-        nodes = written(_nodes(docs, key, text, k, percent, count, seed), "shingles")
+        table = allotted(percent, max(count, 1), [s for s in sample if len(s)])
+        nodes = written(_nodes(docs, key, text, k, percent, table, seed), "shingles")
         clash = nodes.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
         if clash.where("lo <> hi").isEmpty():
             break
         seed += 2  # two sets of one id: all ids are drawn anew
-    table = bands(percent, max(count, 1))
-
-    # keys that different sets share; a set leaves out its most common exact ones, as many as its band's slack
-    rows = nodes.where("node is not null").select("node", F.explode("keys").alias("k"))
-    by_key = Window.partitionBy("k")
-    held = rows.select("k", "node", F.min("node").over(by_key).alias("lo"), F.max("node").over(by_key).alias("hi"), F.count("*").over(by_key).alias("c"))
-    shared = written(held.where("lo <> hi").select("k", "node", "c").distinct(), "shared-keys")
-    slack = F.element_at(F.array(*(F.lit(b.slack) for b in table)), F.shiftright("k", _KEY_BITS).cast("int") + 1)
-    in_band = Window.partitionBy("node", F.shiftright("k", _KEY_BITS)).orderBy(F.desc("c"), "k")
-    kept = shared.withColumn("rank", F.row_number().over(in_band)).where(F.col("rank") > slack).select("k", "node")
-    lone = kept.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("k")
-    kept = written(kept.join(lone, "k", "left_semi"), "kept-keys")
-
-    # texts of the sets that are compared, one for each; key and hash find it among the documents
-    wanted = kept.select("node").distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node", "n").agg(F.min(F.struct("__key", "body")).alias("at"))
-    chosen = written(chosen.select("node", "n", F.col("at.__key").alias("the_key"), F.col("at.body").alias("the_body")), "compared")
-    compared = chosen.count()
-    bodies = _texts(docs, key, text)
-    same = F.col("__key").eqNullSafe(F.col("the_key")) & (F.col("body") == F.col("the_body"))
-    found = bodies.join(F.broadcast(chosen) if compared <= BROADCAST_KEYS else chosen, same)
-    sets = written(_sets(found, k, seed), "sets")
-    if sets.count() > compared:  # rows that repeat key and text
-        sets = written(sets.dropDuplicates(["node"]), "sets")
-
-    # Common keys are mostly those of passages that many texts share. The sets that share any key are searched by their
-    # rarest shingles, where such passages don't count; a similar pair shares one of these for certain.
-    return nodes, sets, written(_rarest(sets, percent), "rarest")
-
-
-def _search(rare: DataFrame, sets: DataFrame, percent: int, joined: bool) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) and roots. With ``joined``, pairs that links already join are skipped, which leaves components exact;
-    without it all links are found, some repeatedly or turned, and there are no roots."""
-    spark = rare.sparkSession
+    kept = _kept_keys(nodes, count)
+    slim = written(nodes.select("__key", "body", "n", "node"), "nodes")
+    discard(nodes)
+    sets = _node_sets(docs, key, text, k, seed, slim, kept.select("node").distinct())
+    return slim, kept, sets
+
+
+def _stars(groups: DataFrame, by: str) -> DataFrame:
+    """s, u (the pivot) and v of the members of groups g, where members are rows of node and weight: the pivot is the one of
+    most weight. With ``by`` = "pivot" the groups of one pivot make one star, else each group its own."""
+    top = groups.groupBy("g").agg(F.max(F.struct("weight", "node")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    top = top.where("lo <> hi").select("g", F.col("top.node").alias("u"))
+    found = groups.select("g", F.col("node").alias("v")).join(top, "g").where("u <> v")
+    return found.select(F.col("u" if by == "pivot" else "g").alias("s"), "u", "v").distinct()
+
+
+def _prefixes(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The next groups g (a star and a difference from its pivot) and their members: node, n, d, place, root, linked, weight.
+
+    Of two similar sets x and y with Dx and Dy differences from a pivot p, of which y isn't linked to p, D(x, y) <= q(|x| + |y|)
+    and Dy > q(|y| + |p|), with q = (100 - percent) / (100 + percent); they share (Dx + Dy - D(x, y)) / 2 differences, which is
+    more than (Dx + q(|p| - |x|)) / 2, and never negative as Dx >= |p| - |x|; and at least Dx - D(x, y). So both have the rarest
+    of the differences that they share among their rarest ones, all but as many as they share for certain; and what stands
+    before it in either (``place``) is not in the other. Members that are one component already, or all linked to the pivot,
+    have nothing to tell.
+    """
+    rooted = stars.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    torn = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("all"))
+    torn = torn.where("lo <> hi and not all").select("s")
+    rooted = written(rooted.join(torn, "s", "left_semi"), "torn-stars")
+    rows = rooted.select("s", "v", F.explode("delta").alias("token")).select("s", "v", F.xxhash64("s", "token").alias("g"))
+    often = rows.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    shared = rows.join(often, "g")
+    member = Window.partitionBy("s", "v")
+    shared = shared.withColumns({"rank": F.row_number().over(member.orderBy("c", "g")), "some": F.count("*").over(member)})
+    q, r = 100 - percent, 100 + percent
+    placed = shared.join(rooted.drop("delta"), ["s", "v"]).withColumns({
+        "place": F.expr("d - some + rank - 1"),  # differences that no other member has come first
+        "most": F.expr(f"(nv + nv * 100 div {percent}) * {q} div {r}"),  # how far a similar set can be apart
+        "least": F.expr(f"if(linked, (d * {r} + (nu - nv) * {q}) div {2 * r} + 1, greatest(1, d - (nv + nv * 100 div {percent}) * {q} div {r}))"),
+    }).where("place <= d - least")
+    columns = ["g", F.col("v").alias("node"), F.col("nv").alias("n"), "d", "place", "root", "linked", "most", (-F.col("d")).alias("weight")]
+    placed = written(placed.select(*columns), "differences")
+    # a member that differs too much, by its place and the least one in the group, goes; then groups with nothing to tell
+    least = placed.groupBy("g").agg(F.min("place").alias("first"))
+    near = placed.join(least, "g").where("place + first <= most").drop("first", "most")
+    open_ = near.groupBy("g").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("all"), F.count("*").alias("c")
+    )
+    found = written(near.join(open_.where("lo <> hi and not all").select("g", "c"), "g"), "open-groups")
+    discard(rooted, placed)
+    return found
+
+
+def _close_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of different components in small groups that can be similar by their sizes, differences and places."""
+    small = groups.where(F.col("c") <= SMALL_GROUP)
+    apart = f"(u.n + v.n) * {100 - percent} div {100 + percent}"
+    pairs = small.alias("u").join(
+        small.alias("v"),
+        F.expr(
+            f"u.g = v.g and u.node < v.node and u.root <> v.root and {percent} * greatest(u.n, v.n) <= 100 * least(u.n, v.n)"
+            f" and u.place + v.place <= {apart} and abs(u.d - v.d) <= {apart}"
+        ),
+    )
+    return pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+
+
+def _classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and root of the nodes that links join: see the module's head."""
+    spark = kept.sparkSession
     links = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
-    # first the member of least place in each group against the others, then members in turn, until no pair is left
-    done = 0
-    while True:
-        ranked = _open_groups(rare, roots, percent, done).select("k", "node", "n", "place", "root", "rank")
-        ranked = written(ranked, "open-groups")
-        first = ranked.agg(F.min("rank")).first()[0]
-        if first is None:
-            break
-        last = first + CENTERS - 1 if done else 1
-        pairs = ranked.alias("v").join(
-            ranked.where(F.col("rank") <= last).alias("u"),
-            F.expr(
-                "u.k = v.k and u.root <> v.root and u.rank < v.rank and 100 * least(u.n, v.n) >= {p} * greatest(u.n, v.n)"
-                " and u.place + v.place <= (u.n + v.n) * {q} div {r}".format(p=percent, q=100 - percent, r=100 + percent)
-            ),
-        )
-        pairs = pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
-        more = written(_linked(pairs, sets, percent), "links")
-        done = last
+
+    def linked(found: DataFrame) -> None:
+        nonlocal links, roots
+        more = found.where("linked").select("u", "v")
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
-            roots = components(links) if joined else roots
-    return links, roots
+            roots = components(links)
+
+    stars = written(_stars(kept.withColumnRenamed("k", "g"), "pivot"), "stars")
+    while not stars.isEmpty():
+        found = written(_compared(stars.select("u", "v").distinct(), sets, percent), "compared-stars")
+        linked(found)
+        groups = _prefixes(stars.join(found, ["u", "v"]), roots, percent)
+        discard(found, stars)
+        close = _close_pairs(groups, percent)
+        if not close.isEmpty():
+            linked(written(_compared(close, sets, percent).select("u", "v", "linked"), "compared-pairs"))
+        large = groups.where(F.col("c") > SMALL_GROUP)
+        # several differences can have the same members: one of them will do
+        same = large.groupBy("g").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("c"))
+        once = same.groupBy("who", "c").agg(F.min("g").alias("g")).select("g")
+        stars = written(_stars(large.join(once, "g", "left_semi"), "group"), "stars")
+        discard(groups)
+    return roots
+
+
+def _all_links(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every link (u, v), u < v: the members of a key are compared with its later ones, ``CENTERS`` at a time."""
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("node")))
+    ranked = written(ranked.select("k", "node", "rank"), "ranked-keys")
+    last = ranked.agg(F.max("rank")).first()[0] or 0
+    links = kept.sparkSession.createDataFrame([], "u long, v long")
+    for done in range(0, last, CENTERS):
+        u = ranked.where(f"rank > {done} and rank <= {done + CENTERS}").alias("u")
+        pairs = ranked.alias("v").join(u, F.expr("u.k = v.k and u.rank < v.rank"))
+        pairs = pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+        found = _compared(pairs, sets, percent).where("linked").select("u", "v")
+        links = written(links.unionByName(found).distinct(), "links")
+    return links
 
 
 def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,8 +504,9 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     ignored; an empty table gives no rows. No pair of different sets that reaches the similarity is lost: components are
     exact. Shingles are told apart by 64-bit hashes, sets by 128 bits.
     """
-    nodes, sets, rare = _compared(docs, k, percent, key, text)
-    _, roots = _search(rare, sets, percent, joined=True)
+    nodes, kept, sets = _indexed(docs, k, percent, key, text)
+    roots = _classes(kept, sets, percent)
+    discard(kept, sets)
 
     every = _rooted(nodes.select("__key", "n", "node"), roots)
     least = every.where("root is not null").groupBy("root").agg(F.min("__key").alias("least"), F.count("*").alias("c")).where("c > 1")
@@ -390,9 +518,8 @@ def similarity_links(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     """key, n_shingles and n_links of every row: the number of other rows whose similarity with it, as in
     ``similarity_classes``, is ``percent`` or more. No link is skipped, so a group of n similar texts costs n² comparisons of its
     different sets; copies of a set are counted without being compared."""
-    nodes, sets, rare = _compared(docs, k, percent, key, text)
-    links = _search(rare, sets, percent, joined=False)[0]  # a pair can come in either order
-    links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    nodes, kept, sets = _indexed(docs, k, percent, key, text)
+    links = _all_links(kept, sets, percent)
     copies = written(nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("c")), "copies")
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     others = both.join(copies.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("c").alias("others"))
