@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, sha256_hex, strings
+from .common import blocks, mapped, sha256_hex, strings
 
 #: Words whose ids a worker remembers; beyond it those not in the current block are forgotten.
 REMEMBERED = 400_000
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"__key {kind}, ids array<int>").withColumnRenamed("__key", key)
+    return mapped(rows, run, f"__key {kind}, ids array<int>").withColumnRenamed("__key", key)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -189,7 +189,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", id
 
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("__key"), F.col(ids).alias("__ids"))
-    return rows.mapInArrow(run, f"__key {kind}, decoded binary").withColumnRenamed("__key", key)
+    return mapped(rows, run, f"__key {kind}, decoded binary").withColumnRenamed("__key", key)
 
 
 def round_trip_digests(
@@ -220,5 +220,5 @@ def round_trip_digests(
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     more = ", ids array<int>" if keep_ids else ""
-    out = rows.mapInArrow(run, f"__key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    out = mapped(rows, run, f"__key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumnRenamed("__key", key)

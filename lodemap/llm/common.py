@@ -6,15 +6,19 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that one step inside a Python worker holds at once; a longer text makes a step of its own.
 BLOCK_CHARS = 2_000_000
+#: Bytes of an Arrow batch on its way to a Python worker, at most (one row at least). By default only rows are bounded, and
+#: thousands of long texts at once cost each task hundreds of MB on both sides.
+BATCH_BYTES = 4_000_000
 #: Rows of a sample from which costs are estimated or a dictionary is trained, and the UTF-8 bytes of text it may hold.
 SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 8_000_000
 
@@ -66,6 +70,14 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_BYTES`` at most. The bound is a setting of the session; one that it has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for an explicit ``repartition``: what the session uses for shuffles."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

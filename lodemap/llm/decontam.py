@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8, written
+from .common import blocks, mapped, utf8, written
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -114,7 +114,7 @@ def _scanned(docs: DataFrame, items: list[tuple[str, str]], key: str, text: str,
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(scan, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
+    return mapped(rows, scan, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
 
 
 def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = AUTOMATON_BYTES) -> list[list]:
@@ -188,7 +188,7 @@ def _hit_words(rows: DataFrame, key: str) -> DataFrame:
 
     kind = rows.schema["__id"].dataType[key].dataType.simpleString()
     flat = rows.select(F.col(f"__id.{key}").alias("__key"), "n_words", "items", "spans", "__text")
-    return flat.mapInArrow(count, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
+    return mapped(flat, count, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES) -> DataFrame:
@@ -201,5 +201,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
             for block in blocks(batches, text):
                 yield block.filter(pa.array([not scanner.scan(x)[1] for x in utf8(block, text)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = mapped(docs, clean, docs.schema)
     return docs

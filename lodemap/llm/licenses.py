@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, mapped, utf8
 from .decontam import FOLD
 
 #: Words of a fingerprint, and fingerprints of a window of which the least is kept. A run of GRAM + WINDOW - 1 equal words
@@ -306,4 +306,4 @@ def scan_licenses(
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"__key {kind}, licenses {REPORT}").withColumnRenamed("__key", key)
+    return mapped(rows, run, f"__key {kind}, licenses {REPORT}").withColumnRenamed("__key", key)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, sampled, utf8, written
+from .common import blocks, discard, mapped, sampled, utf8, written
 
 #: Keys of documents, at most, that are broadcast to fetch their texts again; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -252,7 +252,7 @@ def _nodes(docs: DataFrame, key: str, text: str, k: int, percent: int, table: tu
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"__key {kind}, body long, n long, node long, check long, keys array<long>, own int, slack0 int, slack1 int"
-    return _texts(docs, key, text).mapInArrow(run, schema)
+    return mapped(_texts(docs, key, text), run, schema)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -267,7 +267,7 @@ def _sets(texts: DataFrame, k: int, seed: int) -> DataFrame:
             members = [s.tobytes() for s in shingle_sets(utf8(block, "__text"), k, seed)]
             yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(members, pa.binary())], names=["node", "members"])
 
-    return texts.select("node", "__text").mapInArrow(run, "node long, members binary")
+    return mapped(texts.select("node", "__text"), run, "node long, members binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             columns = [batch.column("u"), batch.column("v"), pa.array(nu), pa.array(nv), pa.array(d), linked, pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "nu", "nv", "d", "linked", "delta"])
 
-    return sided.mapInArrow(run, "u long, v long, nu long, nv long, d long, linked boolean, delta array<long>")
+    return mapped(sided, run, "u long, v long, nu long, nv long, d long, linked boolean, delta array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, sampled, utf8
+from .common import blocks, mapped, sampled, utf8
 
 
 SYMBOLS = b"#*$%&|<>"
@@ -160,7 +160,7 @@ def apply_rules(
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     schema = f"__key {kind}, " + ", ".join(f"{n} long" for n in EMITTED) + ", base_failed boolean, kept boolean"
-    return rows.mapInArrow(run, schema).withColumnRenamed("__key", key)
+    return mapped(rows, run, schema).withColumnRenamed("__key", key)
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,4 +172,4 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
         for block in blocks(batches, text):
             yield block.filter(pa.array([rejected_by(x, order) is None for x in utf8(block, text)], pa.bool_()))
 
-    return docs.mapInArrow(run, kinds)
+    return mapped(docs, run, kinds)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, mapped, utf8
 
 #: Strings that one part of a pattern may stand for before its query gives up on that part.
 MOST_STRINGS = 64
@@ -314,4 +314,4 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, key: st
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"__key {kind}, spans array<{SPAN}>").withColumnRenamed("__key", key)
+    return mapped(rows, run, f"__key {kind}, spans array<{SPAN}>").withColumnRenamed("__key", key)

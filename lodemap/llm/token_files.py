@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, new_folder, sampled, spread, strings
+from .common import blocks, mapped, new_folder, sampled, spread, strings
 
 #: A tokenizer file of more bytes isn't sent to the executors.
 TOKENIZER_BYTES = 64_000_000
@@ -282,7 +282,7 @@ def write_token_files(
     # equal keys may share one range, so the text's hash takes part in the cut
     order = [F.col("__key").asc_nulls_first(), F.xxhash64("__text"), F.col("__text")]
     placed = rows.repartitionByRange(spread(docs), *order[:2]).sortWithinPartitions(*order)
-    written = placed.mapInArrow(run, "part long, path string, docs long, tokens long").collect()  # a row for each partition
+    written = mapped(placed, run, "part long, path string, docs long, tokens long").collect()  # a row for each partition
     return [r.asDict() for r in sorted(written, key=lambda r: r["part"])]
 
 
@@ -314,5 +314,5 @@ def read_token_files(docs: DataFrame, manifest: list[dict], key: str = "doc_id")
                     first = int(ends[-1])
                     yield pa.RecordBatch.from_pydict(columns)
 
-    out = files.mapInArrow(run, "__key long, start long, n_tokens long, ids_crc32 long")
+    out = mapped(files, run, "__key long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("__key", key)

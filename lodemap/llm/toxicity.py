@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8, written
+from .common import blocks, mapped, utf8, written
 from .decontam import FOLD
 
 #: Labelled rows to learn from, at most, of each class; by hash of the key, so the same ones on every run.
@@ -143,7 +143,7 @@ def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(columns, names=["__key", "toxic", "terms"])
 
     kind = rows.schema["__key"].dataType.simpleString()
-    hashed = rows.mapInArrow(run, f"__key {kind}, toxic int, terms array<long>")
+    hashed = mapped(rows, run, f"__key {kind}, toxic int, terms array<long>")
     texts = written(hashed.groupBy("__key", "toxic").agg(F.min("terms").alias("terms")), "labelled")
     telling = np.sort(telling_terms(texts).toArrow().column("term").to_numpy())
 
@@ -153,7 +153,7 @@ def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             columns = [batch.column("__key"), batch.column("toxic"), pa.array(own, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["__key", "toxic", "terms"])
 
-    found = texts.mapInArrow(narrow, f"__key {kind}, toxic int, terms binary").toArrow().sort_by("__key")
+    found = mapped(texts, narrow, f"__key {kind}, toxic int, terms binary").toArrow().sort_by("__key")
     bodies, toxic = found.column("terms").to_pylist(), found.column("toxic").to_pylist()
     return [(np.frombuffer(b, np.int64), y) for b, y in zip(bodies, toxic, strict=True)]
 
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"__key {kind}, score double, predicted int").withColumnRenamed("__key", key)
+    return mapped(rows, run, f"__key {kind}, score double, predicted int").withColumnRenamed("__key", key)
 
 
 def without_toxic(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
@@ -185,4 +185,4 @@ def without_toxic(docs: DataFrame, model: FactorizationMachine, text: str = "tex
         for block in blocks(batches, text):
             yield block.filter(pa.array(shared.value.score_texts(utf8(block, text)) < THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
