@@ -12,16 +12,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, mapped, sha256_hex, strings
+from .pieces import Cutter
 
-#: Words whose ids a worker remembers; beyond it those not in the current block are forgotten.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens and packed ids that a worker remembers, without what Python needs to hold them (some 200 bytes each,
+#: counted as such); beyond it those not in the current block are forgotten.
+REMEMBERED, EACH = 32_000_000, 200
+#: Bytes of text that are cut and encoded at once; a longer text makes a step of its own.
+BLOCK_BYTES = 500_000
 #: A rank file of more bytes isn't sent to the executors.
 RANK_FILE_BYTES = 64_000_000
 
@@ -90,8 +93,9 @@ class BytePairCoder:
         self.bytes_of = dict(zip(self.ids, self.tokens, strict=True))
         self.digits = {i: str(i) for i in self.ids}
         self.whole = PerfectHash(self.tokens)
-        self.pattern = regex.compile(pattern)
+        self.cut = Cutter(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: its parts are a linked list, the heap yields the pair of lowest rank, leftmost first."""
@@ -129,15 +133,18 @@ class BytePairCoder:
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pre-tokens into ``known``."""
         new = list(pieces - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces & self.known.keys()}
         raw = [p.encode() for p in new]
+        more = sum(map(len, raw)) + EACH * len(raw)
+        if self.held + more > REMEMBERED:
+            self.known = {p: self.known[p] for p in pieces & self.known.keys()}
+            self.held = sum(map(len, self.known)) + EACH * len(self.known)
+        self.held += more
         for p, b, k in zip(new, raw, self.whole.lookup(raw).tolist() if raw else [], strict=True):
             self.known[p] = (self.ids[k],) if k >= 0 and self.tokens[k] == b else self.merge(b)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text: each match of the pattern by itself, no special tokens."""
-        cut = [self.pattern.findall(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         self.learn(set(chain.from_iterable(cut)))
         of = self.known.__getitem__
         for pieces in cut:
@@ -168,7 +175,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, "__text", BLOCK_BYTES):
             ids = pa.array(list(coder.encode(strings(block, "__text"))), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column(0), ids], names=["__key", "ids"])
 
@@ -201,7 +208,7 @@ def round_trip_digests(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, "__text", BLOCK_BYTES):
             counts, shas, back, kept = [], [], [], []
             for ids in coder.encode(strings(block, "__text")):
                 counts.append(len(ids))

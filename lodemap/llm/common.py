@@ -6,7 +6,7 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +19,8 @@ BLOCK_CHARS = 2_000_000
 #: Bytes of an Arrow batch on its way to a Python worker, at most (one row at least). By default only rows are bounded, and
 #: thousands of long texts at once cost each task hundreds of MB on both sides.
 BATCH_BYTES = 4_000_000
+#: Bytes of a table, at most, that is broadcast.
+BROADCAST_BYTES = 32_000_000
 #: Rows of a sample from which costs are estimated or a dictionary is trained, and the UTF-8 bytes of text it may hold.
 SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 8_000_000
 
@@ -78,6 +80,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def hinted(table: DataFrame, row_bytes: str) -> DataFrame:
+    """The table with a broadcast hint if its rows, as ``row_bytes`` (SQL) estimates each, hold ``BROADCAST_BYTES`` at most;
+    else as it is, for a join by a shuffle."""
+    held = table.agg(F.expr(f"sum(cast({row_bytes} as long))")).first()[0] or 0
+    return F.broadcast(table) if held <= BROADCAST_BYTES else table
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for an explicit ``repartition``: what the session uses for shuffles."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -110,6 +119,16 @@ def strings(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
+def code_points(text: bytes, places: Iterable[int]) -> list[int]:
+    """The numbers of the code points that begin at some places, ascending, of a UTF-8 text; the text is read once."""
+    out, at, points = [], 0, 0
+    for place in places:
+        points += len(text[at:place].decode())
+        at = place
+        out.append(points)
+    return out
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
