@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 import struct
 import sys
 import uuid
@@ -14,7 +15,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs
 from pyspark import Broadcast, TaskContext
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import blocks, mapped, new_folder, sampled, spread, strings
+from .pieces import Cutter
 
 #: A tokenizer file of more bytes isn't sent to the executors.
 TOKENIZER_BYTES = 64_000_000
@@ -45,16 +46,20 @@ class LibraryEncoder:
     """The tokenizers library over whole texts, remembering words.
 
     A byte-level tokenizer with its usual pattern, no normaliser and no prefix space never joins what stands before a single
-    space with what follows it, unless white space follows. So such texts are cut before their spaces, each distinct word
+    space with what follows it, unless white space follows. So such texts are cut before their spaces, each distinct piece
     goes through the library's model once while it is remembered, and the ids of a text are those of its
-    words in a row. Texts with other white space behind a space, and all texts of other tokenizers, go through it whole.
+    words in a row. Texts with other white space behind a space, those with an added token of the tokenizer (one id to the
+    library, unless ``added_as_text``), and all texts of other tokenizers, go through it whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, known: dict[str, bytes | None] | None = None, added_as_text: bool = False):
         if sys.byteorder != "little":
             raise NotImplementedError("ids are kept in the machine's order, which the files need to be little-endian")
+        self.definition = definition
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         before = repr(self.tokenizer.pre_tokenizer)
         self.by_words = (
             self.tokenizer.normalizer is None
@@ -65,12 +70,13 @@ class LibraryEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.model = self.tokenizer.model
-        self.marks: dict[str, bytes] = {}
-        self.known: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}  # without a space before them
+        self.cut = Cutter(_PIECES)
+        self.known: dict[str, bytes | None] = known or {}  # with one
         self.older: dict[str, bytes | None] = {}
 
     def __reduce__(self):
-        return LibraryEncoder, (self.tokenizer.to_str(),)
+        return LibraryEncoder, (self.definition, self.known, self.tokenizer.encode_special_tokens)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -86,6 +92,8 @@ class LibraryEncoder:
         out = []
         for text, words, first in zip(texts, cut, self._whole([words[0] for words in cut]), strict=True):
             try:
+                if self.added.search(text):
+                    raise TypeError
                 out.append(b"".join(chain((first,), map(of, words[1:]))))
             except TypeError:  # one of its words has no ids by itself
                 out += self._whole([text])
@@ -95,6 +103,8 @@ class LibraryEncoder:
         new = words - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:  # what no block asks for until the next time is forgotten then
             self.older, self.known, new = self.known, {}, words
+        if len(self.pieces) > REMEMBERED // 4:
+            self.pieces = {}
         for word in new & self.older.keys():
             self.known[word] = self.older[word]
         new = new - self.known.keys()
@@ -113,24 +123,34 @@ class LibraryEncoder:
         if not word or word[0].isspace():  # the space before it belongs to other white space
             return None
         if word.isalpha():
-            return self._piece(_written(" " + word))
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return (self.known.get(word[:-1]) or self._piece(_written(" " + word[:-1]))) + self._piece(word[-1])
-        return b"".join(map(self._piece, map(_written, _PIECES.findall(" " + word))))
+            return self._model(" " + word)
+        letters = word[:-1]
+        if word[-1] in _MARKS and letters.isalpha():
+            return self._spaced(letters) + self._bare(word[-1])
+        first, *rest = self.cut(" " + word)
+        return b"".join(chain((self._spaced(first[1:]),), map(self._bare, rest)))
+
+    def _spaced(self, piece: str) -> bytes:
+        """The ids of a space and a piece, as the pattern cuts one, which is a word by itself too."""
+        found = self.known.get(piece) or self.older.get(piece)
+        if found is None:
+            found = self.known[piece] = self._model(" " + piece)
+        return found
 
-    def _piece(self, written: str) -> bytes:
-        found = self.marks.get(written)
+    def _bare(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
         if found is None:
-            found = array(self.kind, [t.id for t in self.model.tokenize(written)]).tobytes()
-            if len(written) == 1:
-                self.marks[written] = found
+            found = self.pieces[piece] = self._model(piece)
         return found
 
+    def _model(self, piece: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(_written(piece))]).tobytes()
+
 
 #: ASCII marks that are neither letters, digits nor white space, and that byte-level tokenizers write as themselves.
 _MARKS = frozenset(".,;:!?\"'()[]{}")
 #: Fixed value: the pattern by which byte-level tokenizers cut.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -141,13 +161,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 _WRITTEN = _byte_letters()
+#: Bytes that are written as themselves in any piece.
+_PLAIN = frozenset(chr(b) for b, c in _WRITTEN.items() if b < 0x80 and ord(c) == b)
 
 
 def _written(piece: str) -> str:
     """A piece as byte-level tokenizers write it."""
-    if piece[1:].isalnum() and piece.isascii():
-        return "\u0120" + piece[1:] if piece[0] == " " else piece if piece[0].isalnum() else piece.encode().decode("latin-1").translate(_WRITTEN)
-    return piece.encode().decode("latin-1").translate(_WRITTEN)
+    body = piece[1:]
+    if piece.isascii() and (body.isalnum() or _PLAIN.issuperset(body)):
+        return _WRITTEN[ord(piece[0])] + body
+    return "".join(map(_WRITTEN.__getitem__, piece.encode()))
 
 
 # --- files -------------------------------------------------------------------------------------------------------------
