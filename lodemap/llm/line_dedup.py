@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hinted, written
 
-#: Lines of fewer words are repeated only when they are equal; one word of them would be too much of an edit.
+#: The edit bound of a line: one word in as many, and one at most. So shorter lines are repeated only when they are equal.
 LEAST_WORDS = 8
-#: Lines or documents, at most, that are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: 40 bits of a word's hash, so that sums over a line stay within 64 bits.
 _MASK = (1 << 40) - 1
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -104,11 +102,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     likely = distinct.join(shared, "h1").select("h1", F.col("first").alias("place"), "n", "halves", "shared")
     # ids in the order of the places
     likely = written(likely.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "likely-lines")
-    few = likely.count() <= BROADCAST_ROWS
-
     chosen = likely.select("id", F.col("h1").alias("own"), "place", _edit_places().alias("places"))
+    chosen = hinted(chosen, "200 + 8 * size(places)")
     same = (F.col("h1") == F.col("own")) & (F.col("at") == F.col("place"))
-    read = lines.select("at", "h1", "n", "line").join(F.broadcast(chosen) if few else chosen, same)
+    read = lines.select("at", "h1", "n", "line").join(chosen, same)
     words = read.select("id", "places", "n", F.split("line", " ").alias("words"))
     words = words.withColumn("bag", F.expr("transform(words, w -> xxhash64(w))"))
     words = words.withColumn("placed", F.expr("transform(words, (w, i) -> xxhash64(w, i))"))
@@ -124,12 +121,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     whole = words.select(F.expr("xxhash64('bag', n, bag_x, bag_s)").alias("key"), F.col("id").alias("short"))
 
     # replaced words: all lines of a key are within one edit of each other, so the earliest stands for them
-    replaced = words.select("id", F.explode(F.expr(but)).alias("key"))
-    replaced = replaced.withColumn("other", F.min("id").over(Window.partitionBy("key"))).where("other < id")
-    replaced = replaced.groupBy("id").agg(F.min("other").alias("other"))
+    variants = words.select("id", F.explode(F.expr(but)).alias("key"))
+    earliest = variants.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last")
+    replaced = variants.join(earliest, "key").where("other < id").groupBy("id").agg(F.min("other").alias("other"))
     # inserted or deleted words: a whole line and the lines that lack one of their words to be it
     lacking = words.select(F.col("id").alias("long"), F.explode(F.expr(less)).alias("key"))
-    pairs = lacking.join(F.broadcast(whole) if few else whole, "key")
+    pairs = lacking.join(hinted(whole, "48"), "key")
     pairs = pairs.select(F.greatest("short", "long").alias("id"), F.least("short", "long").alias("other"))
     pairs = pairs.unionByName(replaced).distinct()
     mine = words.select("id", F.col("words").alias("a"))
@@ -153,7 +150,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     gone = written(gone, "gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64(text).alias("__hash"))
     same = F.col("__row")[key].eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__body"))
-    rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left")
+    rows = rows.join(hinted(gone, "100 + octet_length(cast(__key as string)) + 8 * size(__gone)"), same, "left")
     cut = F.split(F.col("__row")[text], "\n", -1)
     left = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     body = F.when(F.col("__gone").isNull(), F.col("__row")[text]).otherwise(left)
