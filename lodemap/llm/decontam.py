@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-import json
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mapped, utf8, written
+from .common import blocks, code_points, mapped, utf8, written
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -82,20 +83,32 @@ def _spans(text: bytes, runs: list[list[int]]) -> list[tuple[int, int]]:
         at = folded.index(word, at)
         bounds.append((at, at + len(word)))
         at += len(word)
-    points = lambda byte: len(text[:byte].decode())
-    return [(points(bounds[a][0]), points(bounds[b - 1][1])) for a, b in runs]
+    points = iter(code_points(text, (x for a, b in runs for x in (bounds[a][0], bounds[b - 1][1]))))  # runs are in order, and apart
+    return list(zip(points, points, strict=True))
 
 
-@functools.lru_cache(maxsize=4)
-def _scanner(packed: str, window: int) -> Scanner:
-    return Scanner([(item, text.encode()) for item, text in json.loads(packed)], window)
+#: The scanner that a worker holds, and of which broadcast; one at a time.
+_held: tuple[int | None, Scanner | None] = (None, None)
+
+
+def _scanner(shared: Broadcast, window: int) -> Scanner:
+    global _held
+    if _held[0] != (shared.value[0], window):
+        _held = (None, None)
+        _held = ((shared.value[0], window), Scanner([(item, text.encode()) for item, text in shared.value[1]], window))
+    return _held[1]
+
+
+def _shared(docs: DataFrame, items: list[tuple[str, str]]) -> Broadcast:
+    """A block of items, which ``item_blocks`` bounds, under a name of its own."""
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
 
 
 def _scanned(docs: DataFrame, items: list[tuple[str, str]], key: str, text: str, window: int) -> DataFrame:
-    packed = json.dumps(items)
+    shared = _shared(docs, items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(packed, window)
+        scanner = _scanner(shared, window)
         for block in blocks(batches, "__text"):
             found = [scanner.scan(x) for x in utf8(block, "__text")]
             yield pa.RecordBatch.from_arrays(
@@ -117,19 +130,20 @@ def _scanned(docs: DataFrame, items: list[tuple[str, str]], key: str, text: str,
     return mapped(rows, scan, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = AUTOMATON_BYTES) -> list[list]:
-    """The items in blocks of at most ``most`` bytes of text (one item at least), read one block at a time."""
-    out: list[list] = []
-    held = most
+def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = AUTOMATON_BYTES) -> Iterator[list]:
+    """The items in blocks of at most ``most`` bytes of text (one item at least), one block at a time on the driver."""
+    block: list[tuple[str, str]] = []
+    held = 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("__item"), F.col(text)).where(F.col(text).isNotNull())
     for who, body in rows.orderBy(*rows.columns).toLocalIterator():
         size = len(body.encode())
-        if held + size > most:
-            out.append([])
-            held = 0
-        out[-1].append((who, body))
+        if block and held + size > most:
+            yield block
+            block, held = [], 0
+        block.append((who, body))
         held += size
-    return out
+    if block:
+        yield block
 
 
 def scan_documents(
@@ -146,16 +160,14 @@ def scan_documents(
     into blocks of that size: each has its own automaton and pass, and the hit spans of a document are united.
     """
     parts = item_blocks(benchmark, text="text", most=most)
-    if len(parts) <= 1:
-        return _scanned(docs, parts[0] if parts else [], key, text, window)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _scanned(docs, first, key, text, window)
     numbered = written(docs.select(F.col(key), F.col(text)).withColumn("__row", F.monotonically_increasing_id()), "decontam")
-    every = functools.reduce(
-        DataFrame.unionByName,
-        (
-            _scanned(numbered.withColumn("__id", F.struct(key, "__row")), part, "__id", text, window)
-            for part in parts
-        ),
-    )
+    named, every = numbered.withColumn("__id", F.struct(key, "__row")), None
+    for part in chain((first, second), parts):
+        one = written(_scanned(named, part, "__id", text, window), "scanned")
+        every = one if every is None else every.unionByName(one)
     joined = every.groupBy("__id").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),  # one list for each block of items
@@ -192,14 +204,21 @@ def _hit_words(rows: DataFrame, key: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows without any occurrence of a window, with all their columns; one pass for each block of items."""
-    for part in item_blocks(benchmark, most=most):
-        packed = json.dumps(part)
-
-        def clean(batches: Iterator[pa.RecordBatch], packed: str = packed) -> Iterator[pa.RecordBatch]:
-            scanner = _scanner(packed, WINDOW)
+    """The rows without any occurrence of a window, with all their columns, whatever their names; one pass for each block of
+    items, written but for the last. Null, empty and wordless texts stay; repeated rows fare alike; an empty table gives no
+    rows, and an empty benchmark takes none."""
+    parts = item_blocks(benchmark, most=most)
+    part, more = next(parts, None), next(parts, None)
+    while part is not None:
+        shared = _shared(docs, part)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(shared, WINDOW)
             for block in blocks(batches, text):
                 yield block.filter(pa.array([not scanner.scan(x)[1] for x in utf8(block, text)], pa.bool_()))
 
         docs = mapped(docs, clean, docs.schema)
+        part, more = more, next(parts, None)
+        if part is not None:
+            docs = written(docs, "clean")
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mapped, utf8
+from .common import blocks, code_points, mapped, utf8
 from .decontam import FOLD
 
 #: Words of a fingerprint, and fingerprints of a window of which the least is kept. A run of GRAM + WINDOW - 1 equal words
@@ -267,21 +268,16 @@ def find_licenses(text: bytes, templates: Templates, least: int = LEAST_COVERAGE
             full.add((t, diagonal))
         if 100 * matched >= least * size and templates.told(t, words, start, end):
             found.append((-matched, size - matched, start, end, t))
-    kept: list[tuple[int, int, int, int, int]] = []
+    kept: list[tuple[int, int, int, int, int]] = []  # by place; none overlaps another
     for f in sorted(set(found)):
-        if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
-            kept.append(f)
+        at = bisect_left(kept, f[2], key=lambda k: k[2])
+        if (not at or kept[at - 1][3] <= f[2]) and (at == len(kept) or f[3] <= kept[at][2]):
+            kept.insert(at, f)
     if not kept:
         return []
     bounds = [m.span() for m in _WORD.finditer(folded)]
-    points = lambda byte: len(text[:byte].decode())
-    return sorted(
-        (
-            (templates.names[t], -m, len(templates.words[t]), points(bounds[a][0]), points(bounds[b - 1][1]))
-            for m, _, a, b, t in kept
-        ),
-        key=lambda x: (x[3], x[0]),
-    )
+    points = iter(code_points(text, (x for _, _, a, b, _ in kept for x in (bounds[a][0], bounds[b - 1][1]))))
+    return [(templates.names[t], -m, len(templates.words[t]), next(points), next(points)) for m, _, _, _, t in kept]
 
 
 REPORT = "array<struct<license:string,matched:long,words:long,start:long,end:long>>"

@@ -27,10 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, mapped, sampled, utf8, written
+from .common import blocks, discard, hinted, mapped, sampled, utf8, written
 
-#: Keys of documents, at most, that are broadcast to fetch their texts again; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 #: Members of a group of differences, at most, that are compared directly; a larger group gets a pivot.
 SMALL_GROUP = 16
 #: Members of a key that are compared with its later ones in one round, when every link is wanted.
@@ -361,7 +359,7 @@ def _node_sets(docs: DataFrame, key: str, text: str, k: int, seed: int, nodes: D
     chosen = written(chosen.select("node", F.col("at.__key").alias("the_key"), F.col("at.body").alias("the_body")), "compared")
     compared = chosen.count()
     same = F.col("__key").eqNullSafe(F.col("the_key")) & (F.col("body") == F.col("the_body"))
-    found = _texts(docs, key, text).join(F.broadcast(chosen) if compared <= BROADCAST_KEYS else chosen, same)
+    found = _texts(docs, key, text).join(hinted(chosen, "100 + coalesce(octet_length(cast(the_key as string)), 0)"), same)
     sets = written(_sets(found, k, seed), "sets")
     if sets.count() > compared:  # rows that repeat key and text
         sets = written(sets.dropDuplicates(["node"]), "sets")
@@ -529,16 +527,20 @@ def similarity_links(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the least key of each component, with all their columns; of rows that repeat a key, where links reach
-    them, the one of least text stays. Rows without shingles all stay."""
+    """The rows of the least key of each component, with all their columns, whatever their names.
+
+    Of rows that repeat a key, where links reach them, the one of least text stays, and one of several equal ones. Null, empty
+    and wordless texts have no shingles and all stay; a null key is the last one of a component. An empty table gives no rows.
+    """
     classes = written(similarity_classes(docs, k, percent, key, text), "classes")
     of = classes.select(F.col(key).alias("__own"), F.col("component_id").alias("__least"), "n_shingles")
-    gone = of.where("n_shingles > 0 and not (__own <=> __least)").select("__own").distinct()
-    gone = written(gone, "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col(key).eqNullSafe(F.col("__own")), "left_anti")
-    twice = of.where("n_shingles > 0 and __own <=> __least").groupBy("__own").count().where("count > 1").select("__own")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col(key).eqNullSafe(F.col("__own")), "left_semi")
-    first = again.groupBy(F.col(key)).agg(F.min_by(F.struct(*again.columns), F.col(text)).alias("row")).select("row.*")
-    return kept.join(twice, F.col(key).eqNullSafe(F.col("__own")), "left_anti").unionByName(first)
+    gone = written(of.where("n_shingles > 0 and not (__own <=> __least)").select("__own").distinct(), "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    mine = F.col("__row")[key].eqNullSafe(F.col("__own"))
+    kept = rows.join(hinted(gone, "64 + coalesce(octet_length(cast(__own as string)), 0)"), mine, "left_anti")
+    twice = written(of.where("n_shingles > 0 and __own <=> __least").groupBy("__own").count().where("count > 1").select("__own"), "twice")
+    if not twice.isEmpty():
+        again = kept.join(twice, mine, "left_semi")
+        first = again.groupBy(F.col("__row")[key].alias("__own")).agg(F.min_by("__row", F.col("__row")[text]).alias("__row"))
+        kept = kept.join(twice, mine, "left_anti").unionByName(first.select("__row"))
+    return kept.select(*(F.col("__row")[c].alias(c) for c in docs.columns))

@@ -71,8 +71,8 @@ class TextStats:
 
     @cached_property
     def n_upper_words(self) -> int:
-        """Words of two or more letters without a lower-case one."""
-        return sum(map(str.isupper, self.text.decode().split()))
+        """Words with a letter and without a lower-case one."""
+        return sum(map(str.isupper, map(bytes.decode, self.words)))
 
     @cached_property
     def n_distinct_words(self) -> int:
@@ -164,7 +164,8 @@ def apply_rules(
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with all their columns; here a text costs no more than the rules up to its rejection."""
+    """The rows that no rule rejects, with all their columns, whatever their names; here a text costs no more than the rules up
+    to its rejection. Null and empty texts go (``few_words``); repeated rows fare alike; an empty table gives no rows."""
     order = plan(sampled(docs, key, text), rules)
     kinds = docs.schema
 
