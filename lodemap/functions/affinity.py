@@ -25,3 +25,10 @@ def view_disagreement(a: Column, b: Column, unseen: int = -1) -> Column:
     both = F.filter(F.zip_with(a, b, lambda p, q: F.when((p != unseen) & (q != unseen), (p != q).cast("int"))), lambda v: v.isNotNull())
     wrong = F.aggregate(both, F.lit(0), lambda s, v: s + v)
     return F.when(F.size(both) > 0, wrong / F.size(both)).otherwise(F.lit(0.0))
+
+
+def mean_of_views(views: Column, size: int) -> Column:
+    """The mean of the feature arrays that are not all zero, of an array of such arrays; zeros where there is none."""
+    seen = F.filter(views, lambda v: F.exists(v, lambda e: e != 0))
+    total = lambda i: F.aggregate(seen, F.lit(0.0), lambda s, v: s + v[i])
+    return F.array(*(F.when(F.size(seen) > 0, total(i) / F.size(seen)).otherwise(F.lit(0.0)) for i in range(size)))

@@ -36,9 +36,8 @@ def in_box(df: DataFrame, low: dict[str, Column], high: dict[str, Column], close
 
 
 def in_oriented_box(df: DataFrame, boxes: DataFrame, anti: bool = False) -> DataFrame:
-    """Points inside any box (cx, cy, cz, yaw, ex, ey, ez), boundary included, or those inside none. Boxes are few: they are
-    broadcast up to ``BOXES`` rows, and joined on the points' horizontal cells beyond."""
-    few = boxes.limit(BOXES + 1).count() <= BOXES
+    """Points inside any box (cx, cy, cz, yaw, ex, ey, ez), boundary included, or those inside none. Points meet the boxes of
+    their horizontal cell alone; Spark picks the side to send by its size."""
     dx, dy = F.col("x") - F.col("b.cx"), F.col("y") - F.col("b.cy")
     c, s = F.cos("b.yaw"), F.sin("b.yaw")
     inside = (
@@ -47,8 +46,6 @@ def in_oriented_box(df: DataFrame, boxes: DataFrame, anti: bool = False) -> Data
         & (F.abs(F.col("z") - F.col("b.cz")) <= F.col("b.ez") / 2)
     )
     how = "left_anti" if anti else "left_semi"
-    if few:
-        return df.join(F.broadcast(boxes.alias("b")), inside, how)
     reach = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")) / 2
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / CELL), F.floor((F.col(c) + reach) / CELL))
     spread = boxes.withColumn("gx", F.explode(span("cx"))).withColumn("gy", F.explode(span("cy"))).alias("b")
@@ -56,7 +53,8 @@ def in_oriented_box(df: DataFrame, boxes: DataFrame, anti: bool = False) -> Data
     return df.join(spread, same & inside, how)
 
 
-BOXES, CELL = 10_000, 10.0
+#: Side of the horizontal cells, in metres.
+CELL = 10.0
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:

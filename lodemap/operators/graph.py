@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.functions.affinity import feature_distance, kernel
+from lodemap.functions.affinity import feature_distance, kernel, view_disagreement
 
 from .spatial import grid_join, self_pairs
 from .stages import cut
@@ -25,6 +25,26 @@ def affinity_edges(
     return pairs.select(*(F.col(f"l_{c}").alias(c) for c in chunk), F.col(f"l_{key}").alias("i"), F.col(f"r_{key}").alias("j"), w.alias("w"))
 
 
+def camera_affinity(
+    df: DataFrame, alpha: float, beta: float, gamma: float, theta: float, views: tuple[str, ...], images: tuple[str, ...], feature: str,
+    radius: float = 1.0, key: str = "point_id", chunk: tuple[str, ...] = (),
+) -> DataFrame:
+    """i < j and w for points within ``radius``: the product of the kernels of their distance (``alpha``), of the share of views
+    that label them differently, for each camera's column of ``views`` (``beta``), of the distance of each camera's mean image
+    features in ``images`` (``gamma``; features of zero count as seen), and of the distance of their point features (``theta``;
+    no distance where one has none). A weight of 0 leaves its factor out."""
+    pairs = self_pairs(df, radius, key, chunk)
+    both = lambda c: (F.col(f"l_{c}"), F.col(f"r_{c}"))
+    w = kernel(F.sqrt("d2"), alpha)
+    for c in views if beta else ():
+        w = w * kernel(view_disagreement(*both(c)), beta)
+    for c in images if gamma else ():
+        w = w * kernel(feature_distance(*both(c), "raw"), gamma)
+    if theta:
+        w = w * kernel(feature_distance(*both(feature)), theta)
+    return pairs.select(*(F.col(f"l_{c}").alias(c) for c in chunk), F.col(f"l_{key}").alias("i"), F.col(f"r_{key}").alias("j"), w.alias("w"))
+
+
 def cut_costs(edges: DataFrame, sides: DataFrame) -> DataFrame:
     """cut and ncut of a bipartition (point_id, side 0 or 1). The weight between the sides is of the graph with unit diagonal;
     a side's association counts one more per point, as the cut is sought on the graph plus the identity."""
@@ -95,7 +115,7 @@ def ncut_labels(df: DataFrame, chunk: str, threshold: float, alpha: float, theta
     def label(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
         xyz = group[["x", "y", "z"]].to_numpy()
-        distance = np.sqrt(np.maximum(((xyz[:, None] - xyz[None]) ** 2).sum(-1), 0))
+        distance = np.sqrt(sum((xyz[:, None, a] - xyz[None, :, a]) ** 2 for a in range(3)))
         w = np.where(distance <= radius, np.exp(-alpha * distance), 0.0)
         if theta:
             feat = np.stack(group["feat"].to_list()).astype(float)

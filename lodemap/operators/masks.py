@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import cut
+
 
 def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
@@ -51,18 +53,26 @@ def pair_costs(scores: DataFrame, targets: DataFrame, key: str = "point_id") ->
 def lovasz(scores: DataFrame, label: str, key: str = "point_id") -> DataFrame:
     """query and loss: the Lovász extension of 1 - IoU of softmax errors, per class that occurs (label = query).
 
-    Errors of a class are ranked by a range exchange and prefix counts, not in one task for each class.
+    Errors are sorted by ranges, a class over as many as it needs. Ranks and hits count on from the sums of the ranges before,
+    of which there is a row for each class; so no task sees a whole class.
     """
     p = softmax(scores, key).withColumn("fg", (F.col(label) == F.col("query")).cast("int"))
     err = F.when(F.col("fg") == 1, 1 - F.col("p")).otherwise(F.col("p"))
-    order = Window.partitionBy("query").orderBy(F.desc("err"), key)
-    size = p.groupBy("query").agg(F.sum("fg").alias("size")).where("size > 0")
-    e = p.withColumn("err", err).join(size, "query")
-    e = e.withColumn("hit", F.sum("fg").over(order)).withColumn("rank", F.row_number().over(order))
-    jaccard = 1 - (F.col("size") - F.col("hit")) / (F.col("size") + F.col("rank") - F.col("hit"))
-    e = e.withColumn("j", jaccard)
-    grad = F.col("j") - F.coalesce(F.lag("j").over(order), F.lit(0.0))
-    return e.withColumn("part", F.col("err") * grad).groupBy("query").agg(F.sum("part").alias("loss"))
+    rows = p.select("query", key, "fg", err.alias("err")).repartitionByRange("query", F.desc("err"), key)
+    rows = cut(rows.withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("query", "part").agg(F.count("*").alias("n"), F.sum("fg").alias("f"))
+    before = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    every = Window.partitionBy("query")
+    sums = sums.select(
+        "query", "part", F.sum("f").over(every).alias("size"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"),
+    ).where("size > 0")
+    order = Window.partitionBy("query", "part").orderBy(F.desc("err"), key)
+    e = rows.withColumns({"rank": F.row_number().over(order), "hit": F.sum("fg").over(order)}).join(F.broadcast(sums), ["query", "part"])
+    j = lambda hit, rank: 1 - (F.col("size") - hit) / (F.col("size") + rank - hit)
+    hit, rank = F.col("hit") + F.col("f0"), F.col("rank") + F.col("n0")
+    step = j(hit, rank) - F.when(rank > 1, j(hit - F.col("fg"), rank - 1)).otherwise(F.lit(0.0))
+    return e.groupBy("query").agg(F.sum(F.col("err") * step).alias("loss"))
 
 
 def mask_boxes(pixels: DataFrame, label: str = "label") -> DataFrame:

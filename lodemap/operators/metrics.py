@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +24,25 @@ def iou_pairs(table: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
 def matches(ious: DataFrame, least: float, groups: tuple[str, ...] = ()) -> DataFrame:
     """One-to-one matches at ``iou >= least``: predictions by id take the first unused truth by id.
 
-    Above one half a pair is the only one of both its labels, so it is a filter. Below, each group's edges are folded in
-    order; a group is a map, whose labels (not points) fit in a row.
+    Above one half a pair is the only one of both its labels, so it is a filter. Up to one half, each group's edges are folded
+    in order, each looked at once; a group is a map, whose label pairs (not points) fit in a task.
     """
     edges = ious.where(F.col("iou") >= least)
     if least > 0.5:
         return edges.select(*groups, "pred", "gt", "iou")
-    listed = edges.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("pred", "gt", "iou"))).alias("edges"))
-    kind = ious.schema["gt"].dataType.simpleString()
-    start = F.expr(f"cast(array() as array<struct<pred:{kind},gt:{kind},iou:double>>)")
-
-    def fold(taken, edge):
-        used = F.exists(taken, lambda t: (t["pred"] == edge["pred"]) | (t["gt"] == edge["gt"]))
-        return F.when(used, taken).otherwise(F.concat(taken, F.array(edge)))
-
-    return listed.select(*groups, F.explode(F.aggregate("edges", start, fold)).alias("m")).select(*groups, "m.*")
+    edges = edges.select(*groups, "pred", "gt", "iou")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, preds, gts = [], set(), set()
+        rows = rows.sort_values(["pred", "gt"])
+        for i, (p, g) in enumerate(zip(rows["pred"], rows["gt"], strict=True)):
+            if p not in preds and g not in gts:
+                taken.append(i)
+                preds.add(p)
+                gts.add(g)
+        return rows.iloc[taken]
+
+    return edges.groupBy(*groups).applyInPandas(fold, edges.schema)
 
 
 def _labels(table: DataFrame, side: str, groups: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import cut
+
 
 def united(clouds: list[DataFrame], key: str = "point_id") -> DataFrame:
     """All clouds with their number as ``part``; of points at equal coordinates the first by part and key stays."""
@@ -24,7 +26,7 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """Ids from 0 in the order of distinct values. The values are sorted by range and numbered from counts of each range, so
     no task sees them all."""
     values = df.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id())
-    values = values.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else values.persist()
+    values = cut(values)  # the ranges must not be drawn anew
     sizes = values.groupBy("__part").count()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     sizes = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))

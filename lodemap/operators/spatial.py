@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lodemap.functions.geometry import cell, squared_distance
 
+from .stages import cut
+
 
 def _near_cells(size: float, side: str) -> Column:
     offsets = [F.struct(*(cell(f"{side}_{a}", size) + F.lit(d).cast("long") for a, d in zip("xyz", o, strict=True))) for o in product((-1, 0, 1), repeat=3)]
@@ -36,29 +38,34 @@ def self_pairs(df: DataFrame, radius: float, key: str = "point_id", keys: tuple[
 
 
 def knn_join(
-    left: DataFrame, right: DataFrame, k: int, start: float, key: str = "point_id", most: float | None = None, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """The ``k`` nearest right rows of every left row, by distance and then key, with ``rank`` from 1.
+    left: DataFrame, right: DataFrame, k: int, start: float, key: str = "point_id", most: float | None = None, keys: tuple[str, ...] = (),
+    other: str | None = None,
+) -> DataFrame:
+    """The ``k`` nearest right rows of every left row, by distance and then the right side's key (``other``, if it has another
+    name), with ``rank`` from 1.
 
     The radius begins at ``start`` and doubles for the rows that have fewer than ``k`` neighbours within it; a row is done
-    when its k-th is, so the answer is exact. ``most`` bounds the distance (closed). Rows that can't have ``k`` neighbours
-    end when the radius spans everything.
+    when its k-th is, so the answer is exact. ``most`` bounds the distance (closed). Where the right side has fewer than ``k``
+    rows no radius will do, so the first one spans everything; else rows without ``k`` neighbours of equal ``keys`` end there.
     """
     both = left.select(*"xyz").unionByName(right.select(*"xyz"))
     box = both.agg(*(F.max(a) - F.min(a) for a in "xyz")).first()
     extent = sum(v * v for v in box if v is not None) ** 0.5
     limit = extent if most is None else min(most, extent)
-    order = Window.partitionBy(f"l_{key}").orderBy("d2", f"r_{key}")
+    order = Window.partitionBy(f"l_{key}").orderBy("d2", f"r_{other or key}")
     done, todo, radius = [], left, min(start, max(limit, 1e-9)) if most is None else most
+    if most is None and right.limit(k).count() < k:
+        radius = max(limit, 1e-9)
     while True:
         found = grid_join(todo, right, radius, keys)
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if radius >= limit:
             done.append(found)
             break
+        found = cut(found)  # a round is run once, not again in every later one
         full = found.where(F.col("rank") == k).select(F.col(f"l_{key}").alias(key))
         done.append(found.join(full.select(F.col(key).alias(f"l_{key}")), f"l_{key}", "left_semi"))
-        todo = todo.join(full, key, "left_anti")
+        todo = cut(todo.join(full, key, "left_anti"))
         if todo.isEmpty():
             break
         radius = min(2 * radius, max(limit, 1e-9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clouds, extras, instances  # noqa: F401  (they register their queries)
+from . import clouds, composed, extras, instances  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, Query
 
 

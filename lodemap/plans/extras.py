@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemap.functions import geometry
 from lodemap.functions.geometry import tidy
-from lodemap.operators import filters, sampling
+from lodemap.operators import filters, sampling, sets
 from lodemap.sources import fixtures as fx
 
 from .registry import query
@@ -68,10 +68,9 @@ def moving_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.RASTER}, m AS (SELECT label, count(*) AS area FROM raster GROUP BY label) SELECT label, area, row_number() OVER (ORDER BY area DESC, label) AS place FROM m")
 def masks_by_area(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    areas = fx.raster(spark, d).groupBy("label").agg(F.count("*").alias("area"))  # a row for each mask
-    return areas.withColumn("place", F.row_number().over(Window.orderBy(F.desc("area"), "label")).cast("long"))
+    areas = fx.raster(spark, d).groupBy("label").agg(F.count("*").alias("area"))
+    ranked = areas.withColumn("order", F.struct((-F.col("area")).alias("area"), "label"))
+    return sets.dense_ids(ranked, "order", "place").select("label", "area", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodemap.functions import affinity
 from lodemap.functions.geometry import tidy
 from lodemap.operators import filters, graph, masks, merge, metrics
+from lodemap.operators.stages import cut
 from lodemap.sources import fixtures as fx
 
 from .registry import query
@@ -199,7 +200,7 @@ def s_assoc(spark: SparkSession, d: str) -> DataFrame:
   AS f1, (SELECT round(avg(coalesce(s, 0)), 6) + 0.0 FROM g LEFT JOIN s USING (gt)) AS s_assoc FROM r""")
 def instance_report(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall, F1 and association of one map."""
-    tab = _table(spark, d)
+    tab = cut(_table(spark, d))  # every figure reads it
     row = metrics.precision_recall(tab, 0.55).crossJoin(F.broadcast(metrics.association(tab, 20)))  # one row each
     return _tidy(row.select("precision", "recall", "f1", "s_assoc"), "precision", "recall", "f1", "s_assoc")
 
