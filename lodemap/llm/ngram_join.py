@@ -502,16 +502,20 @@ def similarity_classes(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     ignored; an empty table gives no rows. No pair of different sets that reaches the similarity is lost: components are
     exact. Shingles are told apart by 64-bit hashes, sets by 128 bits.
     """
-    nodes, kept, sets = _indexed(docs, k, percent, key, text)
-    roots = _classes(kept, sets, percent)
-    discard(kept, sets)
-
-    every = _rooted(nodes.select("__key", "n", "node"), roots)
+    every = _classified(docs, k, percent, key, text)
     least = every.where("root is not null").groupBy("root").agg(F.min("__key").alias("least"), F.count("*").alias("c")).where("c > 1")
     out = every.join(least, "root", "left")
     return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "__key").alias("component_id"))
 
 
+def _classified(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """__key, body, n, node and root of every row; rows of one component have one root, those without shingles none."""
+    nodes, kept, sets = _indexed(docs, k, percent, key, text)
+    roots = _classes(kept, sets, percent)
+    discard(kept, sets)
+    return _rooted(nodes, roots)
+
+
 def similarity_links(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and n_links of every row: the number of other rows whose similarity with it, as in
     ``similarity_classes``, is ``percent`` or more. No link is skipped, so a group of n similar texts costs n² comparisons of its
@@ -529,18 +533,27 @@ def similarity_links(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the least key of each component, with all their columns, whatever their names.
 
-    Of rows that repeat a key, where links reach them, the one of least text stays, and one of several equal ones. Null, empty
-    and wordless texts have no shingles and all stay; a null key is the last one of a component. An empty table gives no rows.
+    The least row is the one of least key, then of least hash of the text; a null key comes last. Of rows equal in both one
+    stays. Null, empty and wordless texts have no shingles and all stay. An empty table gives no rows.
     """
-    classes = written(similarity_classes(docs, k, percent, key, text), "classes")
-    of = classes.select(F.col(key).alias("__own"), F.col("component_id").alias("__least"), "n_shingles")
-    gone = written(of.where("n_shingles > 0 and not (__own <=> __least)").select("__own").distinct(), "gone")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    mine = F.col("__row")[key].eqNullSafe(F.col("__own"))
-    kept = rows.join(hinted(gone, "64 + coalesce(octet_length(cast(__own as string)), 0)"), mine, "left_anti")
-    twice = written(of.where("n_shingles > 0 and __own <=> __least").groupBy("__own").count().where("count > 1").select("__own"), "twice")
+    every = written(_classified(docs, k, percent, key, text).where("root is not null").select("__key", "body", "root"), "classes")
+    place = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("the_key"), F.col("body").alias("the_body"))
+    first = every.groupBy("root").agg(F.min(place).alias("first"))
+    gone = every.join(first, "root").where(place != F.col("first")).select(place.alias("at")).distinct()
+    gone = written(gone.select("at.the_key", "at.the_body"), "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64(text).alias("__body"))
+    mine = F.col("__row")[key].eqNullSafe(F.col("the_key")) & (F.col("__body") == F.col("the_body"))
+    kept = rows.join(hinted(gone, "64 + coalesce(octet_length(cast(the_key as string)), 0)"), mine, "left_anti")
+    twice = every.groupBy("__key", "body").count().where("count > 1").select(F.col("__key").alias("the_key"), F.col("body").alias("the_body"))
+    twice = written(_without(twice, gone), "twice")
     if not twice.isEmpty():
         again = kept.join(twice, mine, "left_semi")
-        first = again.groupBy(F.col("__row")[key].alias("__own")).agg(F.min_by("__row", F.col("__row")[text]).alias("__row"))
-        kept = kept.join(twice, mine, "left_anti").unionByName(first.select("__row"))
+        one = again.groupBy(F.col("__row")[key].alias("the_key"), "__body").agg(F.first("__row").alias("__row"))
+        kept = kept.join(twice, mine, "left_anti").select("__row").unionByName(one.select("__row"))
     return kept.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+
+
+def _without(pairs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The pairs of key and hash that don't go."""
+    them = gone.select(F.col("the_key").alias("k"), F.col("the_body").alias("b"))
+    return pairs.join(them, F.col("the_key").eqNullSafe(F.col("k")) & (F.col("the_body") == F.col("b")), "left_anti")
