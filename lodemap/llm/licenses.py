@@ -20,7 +20,8 @@ from .decontam import FOLD
 #: Words of a fingerprint, and fingerprints of a window of which the least is kept. A run of GRAM + WINDOW - 1 equal words
 #: shares a fingerprint for certain.
 GRAM, WINDOW = 3, 2
-#: Words that an alignment may drift from the diagonal of its fingerprint.
+#: Words that an alignment may drift from the diagonal of its fingerprint, and half a template's words at most: so the next
+#: copy of a short notice is out of reach.
 BAND = 8
 #: The part of a template's words that a report needs, in percent.
 LEAST_COVERAGE = 70
@@ -226,9 +227,15 @@ class Templates:
         )
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """The longest common subsequence within ``band`` of a diagonal: words matched, and the first and last place in the text
+def reach(size: int) -> int:
+    """The band of a template of as many words."""
+    return min(BAND, size // 2)
+
+
+def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int, int, int]:
+    """The longest common subsequence within reach of a diagonal: words matched, and the first and last place in the text
     (exclusive) of one such sequence; of equally long ones the tightest that ends first."""
+    band = reach(len(template))
     width = 2 * band + 1
     best = [(0, 0, 0)] * (width + 1)  # matched, -start, -end so far, at offset o of the previous template word
     top = (0, 0, 0)
