@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodemap.functions import affinity
 from lodemap.functions import labels as lb
 from lodemap.functions.geometry import tidy
-from lodemap.operators import graph, images, maps, metrics
+from lodemap.functions.geometry import matrix, quaternion_rotation
+from lodemap.operators import graph, images, maps, metrics, sequences
+from lodemap.operators.sets import dense_ids
 from lodemap.operators.stages import cut
 from lodemap.sources import files, readers, sinks
 from lodemap.sources import fixtures as fx
@@ -261,3 +263,74 @@ def pending_reports(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_report(rows.where("frame % 3 = 0"), folder)
     done = spark.read.json(folder).select(F.col("frame").cast("int").alias("frame"))
     return readers.pending(rows, done)
+
+
+@query(f"WITH {fx.POINTS} SELECT point_id, gt % 7 AS sem, gt AS inst FROM points")
+def label_thousands(spark: SparkSession, d: str) -> DataFrame:
+    """Class times a thousand plus instance, in two bytes, read back and taken apart."""
+    folder = files.new_folder(spark, "thousands")
+    rows = fx.points(spark, d).where("point_id >= 0").select(F.lit(0).alias("frame"), "point_id", (F.col("gt") % 7).alias("sem"), F.col("gt").alias("inst"))
+    files.write_files(rows.withColumn("packed", lb.packed_thousands(F.col("sem"), F.col("inst"))), folder, "frame", files.stacked(("packed",), "<u2"), "{:06d}.bin")
+    found = readers.packed_labels(spark, folder, "<u2", "*.bin")
+    order = dense_ids(fx.points(spark, d).select("point_id"), "point_id", "place")
+    found = found.withColumnRenamed("point_id", "place").join(order, "place")
+    return found.select("point_id", F.expr("packed div 1000").alias("sem"), lb.unpacked_thousands(F.col("packed")).cast("long").alias("inst"))
+
+
+@query(f"""WITH {fx.POINTS}, t AS (SELECT point_id, row_number() OVER (PARTITION BY frame ORDER BY point_id) - 1 AS place FROM points)
+  SELECT 'token' || point_id AS token, place FROM t""")
+def token_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Samples that name the next of their scene, in the order of the chain."""
+    from pyspark.sql import Window
+
+    name = F.concat(F.lit("token"), F.col("point_id"))
+    after = F.lead(name).over(Window.partitionBy("frame").orderBy("point_id"))
+    return sequences.chained(fx.points(spark, d).select(name.alias("token"), after.alias("next")))
+
+
+@query(f"""WITH {fx.POINTS}, {fx.POSES} SELECT frame, round(c * cos(0.4) - s * sin(0.4), 6) + 0.0 AS r00, round(c * 1 - s * 2 + tx, 6) + 0.0 AS tx,
+  round(s * 1 + c * 2, 6) + 0.0 AS ty, 3::DOUBLE AS tz FROM poses""")
+def sensor_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The vehicle's pose times the sensor's mount, which a quaternion turns."""
+    turn = quaternion_rotation(F.cos(F.lit(0.2)), F.lit(0.0), F.lit(0.0), F.sin(F.lit(0.2)))
+    mount = spark.range(1).select(matrix(turn, [F.lit(float(v)) for v in (1, 2, 3)]).alias("pose"))
+    m = F.col("pose")
+    out = readers.chained_poses(fx.poses(spark, d), mount)
+    return out.select("frame", tidy(m[0]).alias("r00"), tidy(m[3]).alias("tx"), tidy(m[7]).alias("ty"), tidy(m[11]).alias("tz"))
+
+
+@query("""SELECT * FROM (VALUES ('P2', 700.0::DOUBLE, 710.0::DOUBLE, 600.0::DOUBLE, 170.0::DOUBLE, 45.0::DOUBLE + 600 * 3), ('P3', 701.0, 711.0, 601.0, 171.0, 46.0 + 601 * 3))
+  t(camera, fu, fv, cu, cv, shift)""")
+def camera_matrices(spark: SparkSession, d: str) -> DataFrame:
+    folder = files.new_folder(spark, "calib")
+    rows = spark.createDataFrame([(0, i, f"P{i + 2}: {700 + i} 0 {600 + i} {45 + i} 0 {710 + i} {170 + i} 0 0 0 1 0") for i in range(2)] + [(0, 2, "Tr: 1 0 0 0 0 1 0 0 0 0 1 3")], "file int, point_id int, line string")
+    files.write_files(rows, folder, "file", lambda part: "\n".join(part["line"]).encode(), "calib{}.txt")
+    found = readers.cameras(readers.calibration(spark, folder))
+    return found.select("camera", "fu", "fv", "cu", "cv", F.col("from_scanner")[3].alias("shift"))
+
+
+@query(f"""WITH {fx.POINTS}, f AS (SELECT DISTINCT frame FROM points) SELECT camera, frame, CASE WHEN frame % 3 <> 0 THEN 'image ' || frame END AS content
+  FROM f, (VALUES ('cam2'), ('cam3')) c(camera)""")
+def image_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Images by camera and frame; none where the file is missing."""
+    folder = files.new_folder(spark, "images")
+    frames = fx.points(spark, d).select("frame").distinct()
+    cams = frames.withColumn("camera", F.explode(F.array(F.lit("cam2"), F.lit("cam3"))))
+    rows = cams.where("frame % 3 <> 0").withColumn("name", F.format_string("%s/%06d", "camera", "frame"))
+    files.write_files(rows, folder, "name", lambda part: f"image {part['frame'].iloc[0]}".encode(), "{}.png", "frame")
+    return cams.join(readers.images(spark, folder), ["camera", "frame"], "left").select("camera", "frame", F.col("content").cast("string").alias("content"))
+
+
+@query(f"WITH {fx.POINTS} SELECT frame, point_id, {', '.join(f'round({a}, 6) + 0.0 AS {a}' for a in 'xyz')} FROM points")
+def world_tables(spark: SparkSession, d: str) -> DataFrame:
+    folder = files.new_folder(spark, "world")
+    fx.points(spark, d).withColumn("t", F.lit(0.5)).write.partitionBy("frame").parquet(folder)
+    return _tidy(readers.world_scans(spark, folder), *"xyz")
+
+
+@query(f"""WITH {fx.POINTS}, r AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS n FROM points WHERE frame IN (1, 4, 7))
+  SELECT point_id, n // 16 AS batch, n % 16 AS slot FROM r""")
+def split_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences of a split, in batches."""
+    rows = sequences.in_split(fx.points(spark, d), {"train": [0, 2, 3], "valid": [1, 4, 7]}, "valid", "frame")
+    return sequences.batches(rows.select("point_id"), 16, "point_id")

@@ -106,3 +106,35 @@ def pseudo_chunks(spark: SparkSession, path: str, chunk: str = "chunk_id") -> Da
     means = rows.groupBy(chunk).agg(*(F.avg(a).alias(f"m{a}") for a in "xyz"))
     centred = rows.join(means, chunk).withColumns({a: F.col(a) - F.col(f"m{a}") for a in "xyz"}).drop("mx", "my", "mz")
     return centred.withColumns({"intensity": F.lit(1.0), "sem": F.lit(0)})
+
+
+def chained_poses(ego: DataFrame, sensor: DataFrame) -> DataFrame:
+    """frame and the pose of a sensor in the world: the vehicle's pose (frame, pose) times the sensor's in the vehicle (one row,
+    pose)."""
+    mount = sensor.select(F.col("pose").alias("mount")).limit(1)
+    return ego.crossJoin(F.broadcast(mount)).select("frame", _product(F.col("pose"), F.col("mount")).alias("pose"))  # one row
+
+
+def cameras(calib: DataFrame, scanner: str = "Tr") -> DataFrame:
+    """camera, focal lengths (fu, fv), centre (cu, cv) and the matrix from the scanner to the image plane of calibration rows
+    ``P<number>``; a row for each camera."""
+    tr = calib.where(F.col("key") == scanner).select(F.col("m").alias("tr")).limit(1)
+    m = F.col("m")
+    rows = calib.where(F.col("key").rlike("^P[0-9]+$")).crossJoin(F.broadcast(tr))  # one row
+    return rows.select(
+        F.col("key").alias("camera"), m[0].alias("fu"), m[5].alias("fv"), m[2].alias("cu"), m[6].alias("cv"), _product(m, F.col("tr")).alias("from_scanner")
+    )
+
+
+def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
+    """camera (the file's folder), frame and content of image files; a left join by camera and frame leaves null where there is
+    none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    parts = F.regexp_extract("path", r"([^/]+)/([0-9]+)\.[A-Za-z0-9]+$", 1), F.regexp_extract("path", r"([^/]+)/([0-9]+)\.[A-Za-z0-9]+$", 2).cast("int")
+    return found.select(parts[0].alias("camera"), parts[1].alias("frame"), "content")
+
+
+def world_scans(spark: SparkSession, path: str) -> DataFrame:
+    """frame, point_id, x, y, z of tables whose points are in the world frame already: Parquet files partitioned by frame, with
+    other columns (intensity, time, sensor) that are left out."""
+    return spark.read.parquet(path).select(F.col("frame").cast("int").alias("frame"), "point_id", *"xyz")
