@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodemap.functions.geometry import cell, squared_distance
 
 from .stages import cut
 
 
+#: Left rows of a nearest-neighbour search, at most, that are compared with all right rows, where the rounds have left them.
+STRAYS = 500
+
+
 def _near_cells(size: float, side: str) -> Column:
     offsets = [F.struct(*(cell(f"{side}_{a}", size) + F.lit(d).cast("long") for a, d in zip("xyz", o, strict=True))) for o in product((-1, 0, 1), repeat=3)]
     return F.explode(F.array(*offsets)).alias("cell")
@@ -45,8 +53,9 @@ def knn_join(
     name), with ``rank`` from 1.
 
     The radius begins at ``start`` and doubles for the rows that have fewer than ``k`` neighbours within it; a row is done
-    when its k-th is, so the answer is exact. ``most`` bounds the distance (closed). Where the right side has fewer than ``k``
-    rows no radius will do, so the first one spans everything; else rows without ``k`` neighbours of equal ``keys`` end there.
+    when its k-th is, so the answer is exact. The last ``STRAYS`` rows, far from all others, are compared with the whole right side.
+    ``most`` bounds the distance (closed). Where the right side has fewer than ``k`` rows no radius will do, so the first one
+    spans everything.
     """
     both = left.select(*"xyz").unionByName(right.select(*"xyz"))
     box = both.agg(*(F.max(a) - F.min(a) for a in "xyz")).first()
@@ -66,12 +75,41 @@ def knn_join(
         full = found.where(F.col("rank") == k).select(F.col(f"l_{key}").alias(key))
         done.append(found.join(full.select(F.col(key).alias(f"l_{key}")), f"l_{key}", "left_semi"))
         todo = cut(todo.join(full, key, "left_anti"))
-        if todo.isEmpty():
+        left_over = todo.count()
+        if not left_over:
+            break
+        if left_over <= STRAYS:
+            found = _against_all(todo, right, k, keys)
+            found = found if most is None else found.where(F.col("d2") <= most * most)
+            done.append(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
             break
         radius = min(2 * radius, max(limit, 1e-9))
     return reduce(DataFrame.unionByName, done)
 
 
+def _against_all(few: DataFrame, right: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """As ``grid_join`` without a radius, for ``STRAYS`` left rows at most: they are sent to the right side, of which each batch
+    gives the k nearest of every left row back."""
+    few = cut(few.withColumn("__left", F.monotonically_increasing_id()))
+    rows = few.select("__left", *"xyz", *keys).toPandas()
+    at = rows[["x", "y", "z"]].to_numpy(float)
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            d2 = sum((at[:, None, i] - part[a].to_numpy(float)[None]) ** 2 for i, a in enumerate("xyz"))
+            for c in keys:
+                d2 = np.where(rows[c].to_numpy()[:, None] == part[c].to_numpy()[None], d2, np.inf)
+            kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, [min(k, d2.shape[1]) - 1]]
+            who, which = np.nonzero((d2 <= kth) & np.isfinite(d2))  # with all that tie for the last place
+            out = part.iloc[which].add_prefix("r_").assign(d2=d2[who, which], __left=rows["__left"].to_numpy()[who])
+            yield out[[*(f"r_{c}" for c in part.columns), "d2", "__left"]]
+
+    schema = StructType([*(StructField(f"r_{f.name}", f.dataType) for f in right.schema), StructField("d2", DoubleType())])
+    found = right.mapInPandas(nearest, schema.add("__left", "long"))
+    own = few.select("__left", *(F.col(c).alias(f"l_{c}") for c in few.columns if c != "__left"))
+    return F.broadcast(own).join(found, "__left").drop("__left")
+
+
 def nearest_value(left: DataFrame, right: DataFrame, value: str, start: float, most: float | None = None, default=None, key: str = "point_id") -> DataFrame:
     """Every left row with the value of its nearest right row, or ``default`` where none is within ``most``."""
     found = knn_join(left, right, 1, start, key, most).select(F.col(f"l_{key}").alias(key), F.col(f"r_{value}").alias(value))
