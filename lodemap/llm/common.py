@@ -80,6 +80,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def rest(spark: SparkSession) -> None:
+    """Lets every executor collect its garbage and hand back the memory by which a shuffle-heavy step has grown its heap: the
+    Python workers of the next step live in the same container, beside the heap."""
+    slots = 4 * max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc') as done").collect()
+
+
 def hinted(table: DataFrame, row_bytes: str) -> DataFrame:
     """The table with a broadcast hint if its rows, as ``row_bytes`` (SQL) estimates each, hold ``BROADCAST_BYTES`` at most;
     else as it is, for a join by a shuffle."""

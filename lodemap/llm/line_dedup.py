@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, written
+from .common import hinted, rest, written
 
 #: The edit bound of a line: one word in as many, and one at most. So shorter lines are repeated only when they are equal.
 LEAST_WORDS = 8
@@ -122,8 +122,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
     # replaced words: all lines of a key are within one edit of each other, so the earliest stands for them
     variants = words.select("id", F.explode(F.expr(but)).alias("key"))
-    earliest = variants.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last")
-    replaced = variants.join(earliest, "key").where("other < id").groupBy("id").agg(F.min("other").alias("other"))
+    groups = variants.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("id"), F.count("*").alias("c"))
+    groups = written(groups.where("other < id"), "line-groups")
+    # keys of two lines are pairs already; only the lines of larger groups are looked up again
+    large = variants.join(hinted(groups.where("c > 2").select("key", "other"), "32"), "key").where("other < id")
+    replaced = groups.where("c = 2").select("id", "other").unionByName(large.select("id", "other"))
+    replaced = replaced.groupBy("id").agg(F.min("other").alias("other"))
     # inserted or deleted words: a whole line and the lines that lack one of their words to be it
     lacking = words.select(F.col("id").alias("long"), F.explode(F.expr(less)).alias("key"))
     pairs = lacking.join(hinted(whole, "48"), "key")
@@ -148,6 +152,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     gone = gone.agg(F.collect_set("at.no").alias("__gone"))  # as long as the document at most
     gone = gone.select(F.col("__doc.key").alias("__key"), F.col("__doc.body").alias("__body"), "__gone")
     gone = written(gone, "gone")
+    rest(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64(text).alias("__hash"))
     same = F.col("__row")[key].eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__body"))
     rows = rows.join(hinted(gone, "100 + octet_length(cast(__key as string)) + 8 * size(__gone)"), same, "left")

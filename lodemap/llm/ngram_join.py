@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, hinted, mapped, sampled, utf8, written
+from .common import blocks, discard, hinted, mapped, rest, sampled, utf8, written
 
 #: Members of a group of differences, at most, that are compared directly; a larger group gets a pivot.
 SMALL_GROUP = 16
@@ -513,6 +513,7 @@ def _classified(docs: DataFrame, k: int, percent: int, key: str, text: str) -> D
     nodes, kept, sets = _indexed(docs, k, percent, key, text)
     roots = _classes(kept, sets, percent)
     discard(kept, sets)
+    rest(docs.sparkSession)
     return _rooted(nodes, roots)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, mapped, utf8, written
+from .common import blocks, discard, mapped, rest, utf8, written
 from .decontam import FOLD
 
 #: Labelled rows to learn from, at most, of each class; by hash of the key, so the same ones on every run.
@@ -159,6 +159,7 @@ def examples(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     sizes = texts.select("__key", F.sum(F.length("terms") / 4).over(order).alias("before")).where(F.col("before") <= TRAIN_TERMS)
     found = texts.join(F.broadcast(sizes), "__key").select("__key", "toxic", "terms").toArrow().sort_by("__key")
     discard(texts)
+    rest(docs.sparkSession)
     bodies, toxic = found.column("terms").to_pylist(), found.column("toxic").to_pylist()
     return [(np.frombuffer(b, np.int32), y) for b, y in zip(bodies, toxic, strict=True)]
 
