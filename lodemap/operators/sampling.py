@@ -42,7 +42,7 @@ def augmented(df: DataFrame, chunk: str, seed: int, shift: float = 0.1) -> DataF
     return df.withColumns({a: turned[a] * scale + step[a] for a in "xyz"})
 
 
-def ground_planes(df: DataFrame, frame: str, within: float = 0.4, rounds: int = 200, seed: int = 0, key: str = "point_id") -> DataFrame:
+def ground_planes(df: DataFrame, frame: str, within: float = 0.4, rounds: int = 2000, seed: int = 0, key: str = "point_id") -> DataFrame:
     """key and is_ground: points near the plane through three points that has the most points near it, per frame. Draws are
     seeded by the frame, and the first best plane stays."""
 
