@@ -49,13 +49,17 @@ def _half_keys() -> Column:
     return ends
 
 
+def _shared_mask() -> Column:
+    """Which of a line's halves another line has: 1 and 2 for the shorter beginning and end, 4 and 8 for the longer ones."""
+    bits = (f"if(coalesce(array_contains(shared, get(halves, {i})), false), {1 << i}, 0)" for i in range(4))
+    return F.expr(" + ".join(bits))
+
+
 def _edit_places() -> Column:
     """The numbers of the words where an edit may be: behind a shared beginning, or before a shared end."""
     return F.expr(
-        "filter(sequence(0, n - 1), i -> i >= case when array_contains(shared, halves[0]) then n div 2"
-        " when array_contains(shared, get(halves, 2)) then n div 2 + 1 else n end"
-        " or i < case when array_contains(shared, halves[1]) then n - n div 2"
-        " when array_contains(shared, get(halves, 3)) then n - n div 2 - 1 else 0 end)"
+        "filter(sequence(0, n - 1), i -> i >= case when mask & 1 = 1 then n div 2 when mask & 4 = 4 then n div 2 + 1 else n end"
+        " or i < case when mask & 2 = 2 then n - n div 2 when mask & 8 = 8 then n - n div 2 - 1 else 0 end)"
     )
 
 
@@ -102,11 +106,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     likely = distinct.join(shared, "h1").select("h1", F.col("first").alias("place"), "n", "halves", "shared")
     # ids in the order of the places
     likely = written(likely.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "likely-lines")
-    chosen = likely.select("id", F.col("h1").alias("own"), "place", _edit_places().alias("places"))
-    chosen = hinted(chosen, "200 + 8 * size(places)")
+    chosen = likely.select("id", F.col("h1").alias("own"), "place", _shared_mask().alias("mask"))
+    chosen = hinted(chosen, "120 + coalesce(octet_length(cast(place.doc.key as string)), 0)")
     same = (F.col("h1") == F.col("own")) & (F.col("at") == F.col("place"))
     read = lines.select("at", "h1", "n", "line").join(chosen, same)
-    words = read.select("id", "places", "n", F.split("line", " ").alias("words"))
+    words = read.select("id", _edit_places().alias("places"), "n", F.split("line", " ").alias("words"))
     words = words.withColumn("bag", F.expr("transform(words, w -> xxhash64(w))"))
     words = words.withColumn("placed", F.expr("transform(words, (w, i) -> xxhash64(w, i))"))
     for name in ("bag", "placed"):
