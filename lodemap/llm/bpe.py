@@ -22,7 +22,7 @@ from .pieces import Cutter
 
 #: Bytes of pre-tokens and packed ids that a worker remembers, without what Python needs to hold them (some 200 bytes each,
 #: counted as such); beyond it those not in the current block are forgotten.
-REMEMBERED, EACH = 32_000_000, 200
+REMEMBERED, EACH = 48_000_000, 200
 #: Bytes of text that are cut and encoded at once; a longer text makes a step of its own.
 BLOCK_BYTES = 500_000
 #: A rank file of more bytes isn't sent to the executors.
@@ -132,11 +132,11 @@ class BytePairCoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pre-tokens into ``known``."""
-        new = list(pieces - self.known.keys())
+        new = [p for p in pieces if p not in self.known]
         raw = [p.encode() for p in new]
         more = sum(map(len, raw)) + EACH * len(raw)
         if self.held + more > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces & self.known.keys()}
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
             self.held = sum(map(len, self.known)) + EACH * len(self.known)
         self.held += more
         for p, b, k in zip(new, raw, self.whole.lookup(raw).tolist() if raw else [], strict=True):
