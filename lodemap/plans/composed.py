@@ -82,7 +82,7 @@ def aggregated_map(spark: SparkSession, d: str) -> DataFrame:
     + (m.y - p.y) * (m.y - p.y) + (m.z - p.z) * (m.z - p.z), p.point_id) AS k FROM minor m JOIN moved p ON m.is_ground = p.is_ground)
   SELECT is_ground, vx, vy, vz, n, inst, sem FROM near WHERE k = 1""")
 def thinned_map(spark: SparkSession, d: str) -> DataFrame:
-    """Points away from cell borders by rounding alone could differ; there are none."""
+    """Both points of a voxel of two are at one distance from its mean but for rounding, so poses and sums round as in the SQL."""
     found = maps.thinned(cut(_map(spark, d)), 0.4, ("inst", "sem"))
     return found.select("is_ground", "vx", "vy", "vz", "n", "inst", "sem")
 

@@ -47,11 +47,12 @@ def packed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame and a 4×4 pose: a turn of 0.1 radian a frame and a metre a frame along x."""
+    """frame and a 4×4 pose: a turn of 0.1 radian a frame and a metre a frame along x. The SQL's 0.1 is a decimal, so three
+    frames are 0.3 radian, which 3 * 0.1 in doubles is not."""
     from lodemap.functions.geometry import matrix
 
     f = points(spark, sf_dir).select("frame").distinct()
-    c, s = F.cos(F.col("frame") * 0.1), F.sin(F.col("frame") * 0.1)
+    c, s = F.cos(F.col("frame") / 10), F.sin(F.col("frame") / 10)
     zero, one = F.lit(0.0), F.lit(1.0)
     return f.select("frame", matrix([c, -s, zero, s, c, zero, zero, zero, one], [F.col("frame").cast("double"), zero, zero]).alias("pose"))
 
