@@ -19,21 +19,27 @@ from .stages import cut
 
 #: Left rows of a nearest-neighbour search, at most, that are compared with all right rows, where the rounds have left them.
 STRAYS = 500
+#: Neighbours asked for, times this, is the most that a point's cell holds on the average when a nearest-neighbour search begins.
+CROWD = 2
+#: Halvings of its first radius, at most.
+HALVINGS = 40
 
 
-def _near_cells(size: float, side: str) -> Column:
-    offsets = [F.struct(*(cell(f"{side}_{a}", size) + F.lit(d).cast("long") for a, d in zip("xyz", o, strict=True))) for o in product((-1, 0, 1), repeat=3)]
+def _near_cells(size: float, side: str, flat: str = "") -> Column:
+    steps = product(*((0,) if a in flat else (-1, 0, 1) for a in "xyz"))
+    offsets = [F.struct(*(cell(f"{side}_{a}", size) + F.lit(d).cast("long") for a, d in zip("xyz", o, strict=True))) for o in steps]
     return F.explode(F.array(*offsets)).alias("cell")
 
 
-def grid_join(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = (), flat: str = "") -> DataFrame:
     """Pairs within ``radius`` (closed), and ``d2``. Columns are prefixed ``l_`` and ``r_``; ``keys`` must be equal.
 
-    The left side is replicated to the 27 cells around it, so put the smaller side there.
+    The left side is replicated to the 27 cells around it, so put the smaller side there; along the axes named in ``flat``, of
+    which all rows of both sides have one value, its own cell will do.
     """
     a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
     b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    a = a.select("*", _near_cells(radius, "l"))
+    a = a.select("*", _near_cells(radius, "l", flat))
     b = b.withColumn("cell_r", F.struct(*(cell(f"r_{c}", radius) for c in "xyz")))
     same = reduce(lambda s, k: s & (F.col(f"l_{k}") == F.col(f"r_{k}")), keys, F.col("cell") == F.col("cell_r"))
     d2 = squared_distance([F.col(f"l_{c}") for c in "xyz"], [F.col(f"r_{c}") for c in "xyz"])
@@ -52,21 +58,24 @@ def knn_join(
     """The ``k`` nearest right rows of every left row, by distance and then the right side's key (``other``, if it has another
     name), with ``rank`` from 1.
 
-    The radius begins at ``start`` and doubles for the rows that have fewer than ``k`` neighbours within it; a row is done
-    when its k-th is, so the answer is exact. The last ``STRAYS`` rows, far from all others, are compared with the whole right side.
+    The radius begins at ``start``, or at a smaller one where the right side is dense (``_uncrowded``), and doubles for the rows
+    that have fewer than ``k`` neighbours within it; a row is done when its k-th is, so the answer is exact. The last ``STRAYS`` rows, far from all others, are compared with the whole right side.
     ``most`` bounds the distance (closed). Where the right side has fewer than ``k`` rows no radius will do, so the first one
     spans everything.
     """
     both = left.select(*"xyz").unionByName(right.select(*"xyz"))
     box = both.agg(*(F.max(a) - F.min(a) for a in "xyz")).first()
-    extent = sum(v * v for v in box if v is not None) ** 0.5
+    flat = "".join(a for a, v in zip("xyz", box, strict=True) if v == 0)
+    extent = sum(v * v for v in box if v is not None) ** 0.5 * (1 + 1e-9)  # the square of a root may fall short of it
     limit = extent if most is None else min(most, extent)
     order = Window.partitionBy(f"l_{key}").orderBy("d2", f"r_{other or key}")
     done, todo, radius = [], left, min(start, max(limit, 1e-9)) if most is None else most
     if most is None and right.limit(k).count() < k:
         radius = max(limit, 1e-9)
+    elif most is None:
+        radius, right = _uncrowded(right, radius, k, keys, other or key, flat)
     while True:
-        found = grid_join(todo, right, radius, keys)
+        found = grid_join(todo, right, radius, keys, flat)
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if radius >= limit:
             done.append(found)
@@ -87,6 +96,29 @@ def knn_join(
     return reduce(DataFrame.unionByName, done)
 
 
+def _uncrowded(right: DataFrame, radius: float, k: int, keys: tuple[str, ...], key: str, flat: str) -> tuple[float, DataFrame]:
+    """A radius for the first round of a search, ``radius`` at most, by which a row meets some multiple of ``k`` others, and the
+    right rows that such a search needs: of more than ``k`` rows in one place, those of least key."""
+    axes = 3 - len(flat)
+
+    def crowd(size: float) -> float:  # the rows of a cell, as the average row has it
+        held = right.groupBy(*keys, *(cell(a, size).alias(f"__{a}") for a in "xyz")).agg(F.count("*").cast("double").alias("c"))
+        return held.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0.0
+
+    least, now = radius / 2**HALVINGS, crowd(radius)
+    if now <= CROWD * k:
+        return radius, right
+    places = [*keys, *"xyz"]
+    if right.groupBy(*places).count().where(F.col("count") > k).limit(1).count():
+        order = Window.partitionBy(*places).orderBy(key)
+        right = cut(right.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place"))
+        now = crowd(radius)
+    while now > CROWD * k and axes and radius > least:
+        radius /= 2 ** max(1, int(np.log2(now / (CROWD * k)) / axes))
+        now = crowd(radius)
+    return radius, right
+
+
 def _against_all(few: DataFrame, right: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
     """As ``grid_join`` without a radius, for ``STRAYS`` left rows at most: they are sent to the right side, of which each batch
     gives the k nearest of every left row back."""
