@@ -12,6 +12,11 @@ from lodemap.functions.affinity import feature_distance, kernel, view_disagreeme
 from .spatial import grid_join, self_pairs
 from .stages import cut
 
+#: Rows and columns of a tile of affinities, and the bytes of tiles that a task holds, at most.
+TILE, MATRIX_BYTES = 512, 256_000_000
+#: The residual at which an eigenvector is found.
+RESIDUAL = 1e-12
+
 
 def affinity_edges(
     df: DataFrame, alpha: float, theta: float = 0.0, feature: str | None = None, radius: float = 1.0, missing: str = "neutral",
@@ -64,30 +69,102 @@ def isolated_removed(df: DataFrame, edges: DataFrame, key: str = "point_id") ->
     return df.join(edges.select(F.explode(F.array("i", "j")).alias(key)).distinct(), key, "left_semi")
 
 
-def best_split(w: np.ndarray, cuts: int = 10) -> tuple[np.ndarray | None, float]:
+class Kernel:
+    """The affinities of points within ``radius``, as a matrix that is never held whole: products go tile by tile over its upper
+    half. Tiles stay while they fit into ``MATRIX_BYTES``; the others are made again for every product."""
+
+    def __init__(self, xyz: np.ndarray, feat: np.ndarray | None, alpha: float, theta: float, radius: float):
+        self.xyz, self.feat, self.alpha, self.theta, self.radius = xyz, feat, alpha, theta, radius
+        self.seen = None if feat is None else (feat != 0).any(1)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.xyz)
+
+    def part(self, ids: np.ndarray) -> Kernel:
+        return Kernel(self.xyz[ids], None if self.feat is None else self.feat[ids], self.alpha, self.theta, self.radius)
+
+    def _tile(self, i: int, j: int) -> np.ndarray:
+        found = self.held.get((i, j))
+        if found is not None:
+            return found
+        u, v = slice(i, i + TILE), slice(j, j + TILE)
+        distance = np.sqrt(sum((self.xyz[u, None, a] - self.xyz[None, v, a]) ** 2 for a in range(3)))
+        w = np.where(distance <= self.radius, np.exp(-self.alpha * distance), 0.0)
+        if self.feat is not None:
+            a, b = self.feat[u], self.feat[v]
+            apart = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
+            w *= np.exp(-self.theta * np.where(self.seen[u, None] & self.seen[None, v], apart, 0.0))
+        if (len(self.held) + 1) * 8 * TILE**2 <= MATRIX_BYTES:
+            self.held[i, j] = w
+        return w
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        for i in range(0, len(self), TILE):
+            for j in range(i, len(self), TILE):
+                w = self._tile(i, j)
+                out[i : i + TILE] += w @ x[j : j + TILE]
+                if i != j:
+                    out[j : j + TILE] += w.T @ x[i : i + TILE]
+        return out
+
+
+def second_vector(w: np.ndarray | Kernel, degree: np.ndarray) -> np.ndarray:
+    """The second eigenvector of the normalized Laplacian of ``w`` plus the identity, whose degrees are given, by Lanczos steps
+    that are kept orthogonal to all before them and to the first eigenvector, which is known. They end when the residual is
+    rounding, or span the space."""
+    n = len(degree)
+    scale, first = 1 / np.sqrt(degree), np.sqrt(degree / degree.sum())
+    v = np.random.default_rng(0).standard_normal(n)
+    v -= first * (first @ v)
+    v /= np.linalg.norm(v)
+    basis, diagonal, beside, look = np.empty((min(n, 32), n)), [], [], 8
+    while True:
+        m = len(diagonal)
+        if m == len(basis):
+            basis = np.concatenate([basis, np.empty((min(m, n - m), n))])
+        basis[m] = v
+        y = scale * v
+        y = scale * (w @ y + y)
+        diagonal.append(v @ y)
+        m += 1
+        for _ in range(2):
+            y -= first * (first @ y)
+            y -= basis[:m].T @ (basis[:m] @ y)
+        rest = np.linalg.norm(y)
+        last = rest < RESIDUAL or m == n - 1
+        if last or m == look:
+            _, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+            if last or rest * abs(vectors[-1, -1]) < RESIDUAL:
+                return vectors[:, -1] @ basis[:m]
+            look += max(8, m // 4)
+        beside.append(rest)
+        v = y / rest
+
+
+def best_split(w: np.ndarray | Kernel, cuts: int = 10) -> tuple[np.ndarray | None, float]:
     """The least normalized cut among evenly spaced thresholds of the second eigenvector; none for a constant one."""
-    n = len(w)
-    degree = w.sum(1) + 1.0
-    scale = 1 / np.sqrt(degree)
-    _, vectors = np.linalg.eigh(np.eye(n) - scale[:, None] * (w + np.eye(n)) * scale[None, :])
-    v = vectors[:, 1]
+    degree = w @ np.ones(len(w)) + 1.0
+    v = second_vector(w, degree)
     v = v * np.sign(v[np.argmax(np.abs(v))])  # a sign of its own
     low, high = v.min(), v.max()
     if np.isclose(low, high):
         return None, np.inf
+    sides = v[:, None] > (low + (high - low) * np.arange(cuts) / cuts)[None]
+    between = w @ sides.astype(float)
     best, least = None, np.inf
-    for t in low + (high - low) * np.arange(cuts) / cuts:
-        side = v > t
+    for side, near in zip(sides.T, between.T, strict=True):
         if side.all() or not side.any():
             continue
-        across = w[np.ix_(side, ~side)].sum()
+        across = near[~side].sum()
         cost = across / degree[side].sum() + across / degree[~side].sum()
         if cost < least:
             best, least = side, cost
     return best, least
 
 
-def recursive_cut(w: np.ndarray, threshold: float, least_share: float = 0.01) -> np.ndarray:
+def recursive_cut(w: np.ndarray | Kernel, threshold: float, least_share: float = 0.01) -> np.ndarray:
     """A label for each point: groups are split while their best cut costs less than ``threshold``, and they hold more than a
     share of the points and more than two, whether connected or not. Labels are numbered by their first point."""
     n = len(w)
@@ -95,7 +172,7 @@ def recursive_cut(w: np.ndarray, threshold: float, least_share: float = 0.01) ->
     while todo:
         ids = todo.pop()
         if len(ids) > 2 and len(ids) > least_share * n:
-            side, cost = best_split(w[np.ix_(ids, ids)])
+            side, cost = best_split(w.part(ids) if isinstance(w, Kernel) else w[np.ix_(ids, ids)])
             if side is not None and cost < threshold:
                 todo += [ids[side], ids[~side]]
                 continue
@@ -114,14 +191,8 @@ def ncut_labels(df: DataFrame, chunk: str, threshold: float, alpha: float, theta
 
     def label(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
-        xyz = group[["x", "y", "z"]].to_numpy()
-        distance = np.sqrt(sum((xyz[:, None, a] - xyz[None, :, a]) ** 2 for a in range(3)))
-        w = np.where(distance <= radius, np.exp(-alpha * distance), 0.0)
-        if theta:
-            feat = np.stack(group["feat"].to_list()).astype(float)
-            seen = (feat != 0).any(1)
-            apart = np.sqrt(np.maximum((feat**2).sum(1)[:, None] + (feat**2).sum(1)[None] - 2 * feat @ feat.T, 0))
-            w *= np.exp(-theta * np.where(seen[:, None] & seen[None], apart, 0.0))
+        feat = np.stack(group["feat"].to_list()).astype(float) if theta else None
+        w = Kernel(group[["x", "y", "z"]].to_numpy(), feat, alpha, theta, radius)
         return pd.DataFrame({chunk: group[chunk], key: group[key], "label": recursive_cut(w, threshold)})
 
     kinds = dict(df.dtypes)
