@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import re
 import struct
 import sys
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import Broadcast, TaskContext
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, mapped, new_folder, sampled, spread, strings
+from .common import BLOCK_CHARS, blocks, mapped, new_folder, sampled, spread
 from .pieces import Cutter
 
 #: A tokenizer file of more bytes isn't sent to the executors.
@@ -48,7 +48,7 @@ class LibraryEncoder:
     A byte-level tokenizer with its usual pattern, no normaliser and no prefix space never joins what stands before a single
     space with what follows it, unless white space follows. So such texts are cut before their spaces, each distinct piece
     goes through the library's model once while it is remembered, and the ids of a text are those of its
-    words in a row. Texts with other white space behind a space, those with an added token of the tokenizer (one id to the
+    words in a row. Only a block's distinct words become Python objects; their ids are put in a row by place. Texts with other white space behind a space, those with an added token of the tokenizer (one id to the
     library, unless ``added_as_text``), and all texts of other tokenizers, go through it whole.
     """
 
@@ -58,8 +58,7 @@ class LibraryEncoder:
         self.definition = definition
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = added_as_text
-        added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         before = repr(self.tokenizer.pre_tokenizer)
         self.by_words = (
             self.tokenizer.normalizer is None
@@ -84,38 +83,61 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width`` bytes."""
-        if not self.by_words:
-            return self._whole(texts)
-        cut = [t.split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(words[1:] for words in cut)))
-        of = self.known.__getitem__
-        out = []
-        for text, words, first in zip(texts, cut, self._whole([words[0] for words in cut]), strict=True):
-            try:
-                if self.added.search(text):
-                    raise TypeError
-                out.append(b"".join(chain((first,), map(of, words[1:]))))
-            except TypeError:  # one of its words has no ids by itself
-                out += self._whole([text])
+        return self.encode_column(pa.array(texts, pa.large_string())) if self.by_words else self._whole(texts)
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """As ``encode``, of a string column; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_words or not len(texts):
+            return self._whole(texts.to_pylist())
+        cut = pc.split_pattern(texts, " ")
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        which = coded.indices.to_numpy().copy()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), ends[:-1]  # every text has a first word, maybe an empty one
+        firsts = [words[i] for i in which[at].tolist()]
+        which[at] = np.arange(len(words), len(words) + len(texts))
+        used = (np.bincount(which, minlength=len(words))[: len(words)] > 0).tolist()
+        found = list(map(self.known.get, words, repeat(_NEW)))
+        new = [i for i, x in enumerate(found) if x is _NEW and used[i]]
+        for i, x in zip(new, self._learnt([words[i] for i in new]), strict=True):
+            found[i] = x
+        alone = np.array([x is None for x in found] + [False] * len(texts))  # words that have no ids by themselves
+        found = [b"" if x is None or x is _NEW else x for x in found] + self._whole(firsts)
+        pool = np.frombuffer(b"".join(found), f"u{self.width}")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        after = np.cumsum(lengths)
+        raw = pool[np.repeat(starts[which] - after + lengths, lengths) + np.arange(after[-1])].tobytes()
+        bounds = (np.concatenate([[0], after])[ends] * self.width).tolist()
+        out = [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        odd = np.add.reduceat(alone[which], at, dtype=np.int64) > 0
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(odd)
+        for i, x in zip(whole.tolist(), self._whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            out[i] = x
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:  # what no block asks for until the next time is forgotten then
-            self.older, self.known, new = self.known, {}, words
+    def _learnt(self, words: list[str]) -> list[bytes | None]:
+        """The ids of distinct words that aren't known; they are then."""
+        if len(self.known) + len(words) > REMEMBERED:  # what no block asks for until the next time is forgotten then
+            self.older, self.known = self.known, {}
         if len(self.pieces) > REMEMBERED // 4:
             self.pieces = {}
-        for word in new & self.older.keys():
-            self.known[word] = self.older[word]
-        new = new - self.known.keys()
+        out = list(map(self.older.get, words, repeat(_NEW)))
         collecting = gc.isenabled()
         gc.disable()  # short-lived tokens by the hundred thousand, none in a cycle
         try:
-            for word in new:
-                self.known[word] = self._word(word)
+            for i, word in enumerate(words):
+                if out[i] is _NEW:
+                    out[i] = self._word(word)
         finally:
             if collecting:
                 gc.enable()
+        self.known.update(zip(words, out, strict=True))
+        return out
 
     def _word(self, word: str) -> bytes | None:
         """The ids of a space and a word. Letters alone are one piece for the model, and a mark behind them is another; the
@@ -147,6 +169,8 @@ class LibraryEncoder:
         return array(self.kind, [t.id for t in self.model.tokenize(_written(piece))]).tobytes()
 
 
+#: Stands for the ids of a word that isn't known.
+_NEW = b"new"
 #: ASCII marks that are neither letters, digits nor white space, and that byte-level tokenizers write as themselves.
 _MARKS = frozenset(".,;:!?\"'()[]{}")
 #: Fixed value: the pattern by which byte-level tokenizers cut.
@@ -292,9 +316,9 @@ def write_token_files(
         own = shared.value
         number = TaskContext.get().partitionId()
         path, writer, tokens = f"{folder}/part-{number:06d}.lodetk", None, 0
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, "__text", 2 * BLOCK_CHARS):  # fewer blocks ask for a word anew
             writer = writer or TokenFileWriter(path, own.width, dictionary)
-            for who, ids in zip(block.column(0).to_pylist(), own.encode(strings(block, "__text")), strict=True):
+            for who, ids in zip(block.column(0).to_pylist(), own.encode_column(block.column(1)), strict=True):
                 writer.add(who, ids + tail)
                 tokens += (len(ids) + len(tail)) // own.width
         if writer:
