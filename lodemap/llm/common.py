@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -10,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,8 +71,33 @@ def discard(*tables: DataFrame) -> None:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        trim(tables[0].sparkSession)
+
+
+def trim(spark: SparkSession) -> None:
+    """Hands memory that the driver has used and no longer needs back to the system, of Python and of the JVM. Their allocators
+    keep it otherwise, outside the heap too, where each of many threads holds what its plans and buffers once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(Py4JError):  # a JVM without this command
+        _command(spark, "systemTrimNativeHeap")
+
+
+def _command(spark: SparkSession, name: str) -> str:
+    """What a diagnostic command of the driver's JVM says."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    find = jvm.java.lang.Class.forName
+    kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = find(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), name
+    # by reflection on the interface: the server's own class isn't open
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    return find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
