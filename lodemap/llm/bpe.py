@@ -21,8 +21,8 @@ from .common import blocks, mapped, sha256_hex, strings
 from .pieces import Cutter
 
 #: Bytes of pre-tokens and packed ids that a worker remembers, without what Python needs to hold them (some 200 bytes each,
-#: counted as such); beyond it those not in the current block are forgotten.
-REMEMBERED, EACH = 48_000_000, 200
+#: counted as such); beyond it those that came only once are forgotten.
+REMEMBERED, EACH = 96_000_000, 200
 #: Bytes of text that are cut and encoded at once; a longer text makes a step of its own.
 BLOCK_BYTES = 500_000
 #: A rank file of more bytes isn't sent to the executors.
@@ -95,35 +95,37 @@ class BytePairCoder:
         self.whole = PerfectHash(self.tokens)
         self.cut = Cutter(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.again: set[str] = set()
         self.held = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: its parts are a linked list, the heap yields the pair of lowest rank, leftmost first."""
         n, rank = len(piece), self.rank
+        get, push, pop = rank.get, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # where the part that begins here ends; 0: it has been swallowed
         before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(piece[i : i + 2])
-            if r is not None:
-                heap.append((r, i, i + 2))
+        # an entry is one number, of rank, beginning and end: numbers compare faster than tuples, in the same order
+        bits = n.bit_length()
+        last, both = (1 << bits) - 1, 2 * bits
+        heap = [r << both | i << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i, stop = heapq.heappop(heap)
+            entry = pop(heap)
+            i, stop = entry >> bits & last, entry & last
             j = end[i]
             if not j or j >= n or end[j] != stop:  # one of its parts has grown since
                 continue
             end[i], end[j] = stop, 0
             if stop < n:
                 before[stop] = i
-                r = rank.get(piece[i : end[stop]])
+                r = get(piece[i : end[stop]])
                 if r is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
+                    push(heap, r << both | i << bits | end[stop])
             h = before[i]
             if h >= 0:
-                r = rank.get(piece[h:stop])
+                r = get(piece[h:stop])
                 if r is not None:
-                    heapq.heappush(heap, (r, h, stop))
+                    push(heap, r << both | h << bits | stop)
         out, i = [], 0
         while i < n:
             out.append(rank[piece[i : end[i]]])
@@ -131,13 +133,20 @@ class BytePairCoder:
         return tuple(out)
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the ids of pre-tokens into ``known``."""
-        new = [p for p in pieces if p not in self.known]
+        """Puts the ids of pre-tokens into ``known``. When that is full, it keeps what came again since the last time and what
+        is needed now; only the latter if that would still fill half of it."""
+        new = pieces.difference(self.known)
         raw = [p.encode() for p in new]
         more = sum(map(len, raw)) + EACH * len(raw)
         if self.held + more > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-            self.held = sum(map(len, self.known)) + EACH * len(self.known)
+            for keep in (self.again | pieces, pieces):
+                self.known = {p: self.known[p] for p in keep if p in self.known}
+                self.held = sum(map(len, self.known)) + EACH * len(self.known)
+                if self.held <= REMEMBERED // 2:
+                    break
+            self.again = set()
+        else:
+            self.again |= pieces - new
         self.held += more
         for p, b, k in zip(new, raw, self.whole.lookup(raw).tolist() if raw else [], strict=True):
             self.known[p] = (self.ids[k],) if k >= 0 and self.tokens[k] == b else self.merge(b)
