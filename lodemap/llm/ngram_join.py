@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, discard, hinted, mapped, rest, sampled, utf8, written
 
-#: Members of a group of differences, at most, that are compared directly; a larger group gets a pivot.
-SMALL_GROUP = 16
+#: Members of a group of differences, at most, that are compared directly; of a larger group those outside its largest component,
+#: at most, that are compared with all. Sizes, differences and places leave few of these pairs. Other groups get a pivot.
+SMALL_GROUP, FEW_OTHERS = 128, 64
+_DIRECT = f"c <= {SMALL_GROUP} or others <= {FEW_OTHERS}"
 #: Members of a key that are compared with its later ones in one round, when every link is wanted.
 CENTERS = 32
 #: Distinct sets, about, from which common keys are told, keys that are treated as common, at most, and the sets of the sample
@@ -385,17 +387,19 @@ def _indexed(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tupl
     return slim, kept, sets
 
 
-def _stars(groups: DataFrame, by: str) -> DataFrame:
+def _stars(groups: DataFrame, by: str | None = None) -> DataFrame:
     """s, u (the pivot) and v of the members of groups g, where members are rows of node and weight: the pivot is the one of
-    most weight. With ``by`` = "pivot" the groups of one pivot make one star, else each group its own."""
+    most weight. The groups of one pivot make one star, as far as they agree in the column ``by``, if there is one. A star of
+    groups of one star ``by`` lacks its pivot, so it has fewer members than that, and there is a last one."""
     top = groups.groupBy("g").agg(F.max(F.struct("weight", "node")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     top = top.where("lo <> hi").select("g", F.col("top.node").alias("u"))
-    found = groups.select("g", F.col("node").alias("v")).join(top, "g").where("u <> v")
-    return found.select(F.col("u" if by == "pivot" else "g").alias("s"), "u", "v").distinct()
+    found = groups.select("g", *([by] if by else []), F.col("node").alias("v")).join(top, "g").where("u <> v")
+    return found.select((F.xxhash64(by, "u") if by else F.col("u")).alias("s"), "u", "v").distinct()
 
 
 def _prefixes(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The next groups g (a star and a difference from its pivot) and their members: node, n, d, place, root, linked, weight.
+    """The next groups g (a star s and a difference from its pivot) and their members: node, n, d, place, root, weight; c and
+    others, the members in all and those outside the component that has most, and minor, whether this one is such.
 
     Of two similar sets x and y with Dx and Dy differences from a pivot p, of which y isn't linked to p, D(x, y) <= q(|x| + |y|)
     and Dy > q(|y| + |p|), with q = (100 - percent) / (100 + percent); they share (Dx + Dy - D(x, y)) / 2 differences, which is
@@ -419,31 +423,37 @@ def _prefixes(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         "most": F.expr(f"(nv + nv * 100 div {percent}) * {q} div {r}"),  # how far a similar set can be apart
         "least": F.expr(f"if(linked, (d * {r} + (nu - nv) * {q}) div {2 * r} + 1, greatest(1, d - (nv + nv * 100 div {percent}) * {q} div {r}))"),
     }).where("place <= d - least")
-    columns = ["g", F.col("v").alias("node"), F.col("nv").alias("n"), "d", "place", "root", "linked", "most", (-F.col("d")).alias("weight")]
+    columns = ["g", "s", F.col("v").alias("node"), F.col("nv").alias("n"), "d", "place", "root", "linked", "most", (-F.col("d")).alias("weight")]
     placed = written(placed.select(*columns), "differences")
     # a member that differs too much, by its place and the least one in the group, goes; then groups with nothing to tell
     least = placed.groupBy("g").agg(F.min("place").alias("first"))
     near = placed.join(least, "g").where("place + first <= most").drop("first", "most")
-    open_ = near.groupBy("g").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("all"), F.count("*").alias("c")
+    parts = near.groupBy("g", "root").agg(F.count("*").alias("c"), F.min("linked").alias("all"))
+    open_ = parts.groupBy("g").agg(
+        F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("most"), F.min("all").alias("all"), F.count("*").alias("roots")
     )
-    found = written(near.join(open_.where("lo <> hi and not all").select("g", "c"), "g"), "open-groups")
+    open_ = open_.where("roots > 1 and not all")
+    open_ = open_.select("g", "c", (F.col("c") - F.col("most.c")).alias("others"), F.col("most.root").alias("top"))
+    found = near.drop("linked").join(open_, "g").withColumn("minor", F.expr("root <> top")).drop("top")
+    found = written(found, "open-groups")
     discard(rooted, placed)
     return found
 
 
 def _close_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of different components in small groups that can be similar by their sizes, differences and places."""
-    small = groups.where(F.col("c") <= SMALL_GROUP)
+    """The pairs (u, v) of different components in groups that are compared directly, that can be similar by their sizes,
+    differences and places. One of each pair is outside the group's largest component."""
+    small = groups.where(_DIRECT)
     apart = f"(u.n + v.n) * {100 - percent} div {100 + percent}"
-    pairs = small.alias("u").join(
+    pairs = small.where("minor").alias("u").join(
         small.alias("v"),
         F.expr(
-            f"u.g = v.g and u.node < v.node and u.root <> v.root and {percent} * greatest(u.n, v.n) <= 100 * least(u.n, v.n)"
+            f"u.g = v.g and (u.node < v.node or not v.minor) and u.root <> v.root"
+            f" and {percent} * greatest(u.n, v.n) <= 100 * least(u.n, v.n)"
             f" and u.place + v.place <= {apart} and abs(u.d - v.d) <= {apart}"
         ),
     )
-    return pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+    return pairs.select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v")).distinct()
 
 
 def _classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -459,8 +469,9 @@ def _classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             links = written(links.unionByName(more), "links")
             roots = components(links)
 
-    stars = written(_stars(kept.withColumnRenamed("k", "g"), "pivot"), "stars")
+    stars = written(_stars(kept.withColumnRenamed("k", "g")), "stars")
     while not stars.isEmpty():
+        rest(spark)
         found = written(_compared(stars.select("u", "v").distinct(), sets, percent), "compared-stars")
         linked(found)
         groups = _prefixes(stars.join(found, ["u", "v"]), roots, percent)
@@ -468,11 +479,11 @@ def _classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         close = _close_pairs(groups, percent)
         if not close.isEmpty():
             linked(written(_compared(close, sets, percent).select("u", "v", "linked"), "compared-pairs"))
-        large = groups.where(F.col("c") > SMALL_GROUP)
+        large = groups.where(f"not ({_DIRECT})")
         # several differences can have the same members: one of them will do
         same = large.groupBy("g").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("c"))
         once = same.groupBy("who", "c").agg(F.min("g").alias("g")).select("g")
-        stars = written(_stars(large.join(once, "g", "left_semi"), "group"), "stars")
+        stars = written(_stars(large.join(once, "g", "left_semi"), "s"), "stars")
         discard(groups)
     return roots
 
