@@ -18,8 +18,9 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ ALLOT_SETS = 300
 ROWS_A_PART = 200_000
 #: Rows of keys that one wrong candidate costs as much as, when segments are allotted.
 CANDIDATE_COST = 8.0
+#: Longs of a set's sketch: the parities of its members' numbers in 64 times as many buckets.
+SKETCH = 16
+#: Pairs of two components that are compared at first, and how many times more in each further round.
+FIRST_PAIRS, MORE_PAIRS = 4, 64
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -94,6 +99,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Whether an odd number of members is in each of some buckets, as bits. A bit in which two sets' sketches differ stands for
+    a member that only one of them has, so they differ in as many members at least."""
+    bucket = ((members.view(np.uint64) * _A) >> _U(32)) % _U(64 * SKETCH)
+    odd = np.bincount(bucket.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 # --- segments ----------------------------------------------------------------------------------------------------------
 
 
@@ -260,20 +273,23 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sets(texts: DataFrame, k: int, seed: int) -> DataFrame:
-    """node and members (the sorted hashes as bytes) of texts."""
+    """node, members (the sorted hashes as bytes) and sketch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            members = [s.tobytes() for s in shingle_sets(utf8(block, "__text"), k, seed)]
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(members, pa.binary())], names=["node", "members"])
+            sets = shingle_sets(utf8(block, "__text"), k, seed)
+            members = pa.array([s.tobytes() for s in sets], pa.binary())
+            sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([block.column("node"), members, sketches], names=["node", "members", "sketch"])
 
-    return mapped(texts.select("node", "__text"), run, "node long, members binary")
+    return mapped(texts.select("node", "__text"), run, "node long, members binary, sketch array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v, nu and nv (sizes), d (members that only one has), linked, and delta (these members) of pairs (u, v) of nodes."""
+    """s, u, v, nu and nv (sizes), d (members that only one has), linked, and delta (these members) of pairs (u, v) of nodes, of
+    which s is any long."""
     sided = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    sided = sided.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").select("u", "v", "a", "b")
+    sided = sided.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").select("s", "u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,10 +303,10 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ends = pa.array(np.cumsum(np.concatenate([np.zeros(1, np.int64), d])), pa.int32())
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *deltas]))
             linked = pa.array(d * (100 + percent) <= (nu + nv) * (100 - percent))
-            columns = [batch.column("u"), batch.column("v"), pa.array(nu), pa.array(nv), pa.array(d), linked, pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "nu", "nv", "d", "linked", "delta"])
+            columns = [*(batch.column(c) for c in "suv"), pa.array(nu), pa.array(nv), pa.array(d), linked, pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["s", "u", "v", "nu", "nv", "d", "linked", "delta"])
 
-    return mapped(sided, run, "u long, v long, nu long, nv long, d long, linked boolean, delta array<long>")
+    return mapped(sided, run, "s long, u long, v long, nu long, nv long, d long, linked boolean, delta array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,9 +363,10 @@ def _kept_keys(nodes: DataFrame, count: int) -> DataFrame:
     often = rows.join(F.broadcast(hot), "k").groupBy("k").agg(*map(F.expr, bounds)).where(apart)
     warm = rows.join(F.broadcast(written(often, "hot-counts")), "k")  # HOT_KEYS rows at most
     columns = ("k", "owner", "c")
-    shared = written(cold.where(apart).select(*columns).unionByName(warm.select(*columns)), "shared-keys").distinct()
+    shared = written(cold.where(apart).select(*columns).unionByName(warm.select(*columns)), "shared-keys")
     slacks = nodes.where("size(keys) > 0").groupBy("node").agg(F.max("slack0").alias("slack0"), F.max("slack1").alias("slack1"))
-    shared = shared.withColumns({"node": F.expr("owner & -2L"), "before": F.expr("owner & 1L")}).join(slacks, "node")
+    # one shuffle, by node, for all that follows
+    shared = shared.withColumns({"node": F.expr("owner & -2L"), "before": F.expr("owner & 1L")}).repartition("node").distinct().join(slacks, "node")
     ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("node", "before").orderBy(F.desc("c"), "k")))
     ranked = ranked.withColumn("weight", F.sum("c").over(Window.partitionBy("node")))
     return written(ranked.where("rank > if(before = 1, slack1, slack0)").select("k", "node", "weight"), "kept-keys")
@@ -397,9 +414,10 @@ def _stars(groups: DataFrame, by: str | None = None) -> DataFrame:
     return found.select((F.xxhash64(by, "u") if by else F.col("u")).alias("s"), "u", "v").distinct()
 
 
-def _prefixes(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _prefixes(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """The next groups g (a star s and a difference from its pivot) and their members: node, n, d, place, root, weight; c and
-    others, the members in all and those outside the component that has most, and minor, whether this one is such.
+    others, the members in all and those outside the component that has most, and minor, whether this one is such. ``found``
+    are the stars as ``_compared`` has them, and m, a number of each row.
 
     Of two similar sets x and y with Dx and Dy differences from a pivot p, of which y isn't linked to p, D(x, y) <= q(|x| + |y|)
     and Dy > q(|y| + |p|), with q = (100 - percent) / (100 + percent); they share (Dx + Dy - D(x, y)) / 2 differences, which is
@@ -408,22 +426,23 @@ def _prefixes(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     before it in either (``place``) is not in the other. Members that are one component already, or all linked to the pivot,
     have nothing to tell.
     """
-    rooted = stars.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    # the differences themselves are read where they are, and leave it only as (m, g)
+    rooted = found.drop("delta").join(hinted(roots, "16").withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    rooted = written(rooted, "rooted-stars")
     torn = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("all"))
-    torn = torn.where("lo <> hi and not all").select("s")
-    rooted = written(rooted.join(torn, "s", "left_semi"), "torn-stars")
-    rows = rooted.select("s", "v", F.explode("delta").alias("token")).select("s", "v", F.xxhash64("s", "token").alias("g"))
-    often = rows.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    shared = rows.join(often, "g")
-    member = Window.partitionBy("s", "v")
+    torn = written(torn.where("lo <> hi and not all").select("s"), "torn-stars")
+    rows = found.select("m", "s", "delta").join(hinted(torn, "16"), "s", "left_semi")
+    rows = rows.select("m", "s", F.explode("delta").alias("token")).select("m", F.xxhash64("s", "token").alias("g"))
+    shared = rows.withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1")  # a star's members at most
+    member = Window.partitionBy("m")
     shared = shared.withColumns({"rank": F.row_number().over(member.orderBy("c", "g")), "some": F.count("*").over(member)})
     q, r = 100 - percent, 100 + percent
-    placed = shared.join(rooted.drop("delta"), ["s", "v"]).withColumns({
+    placed = shared.join(rooted, "m").withColumns({
         "place": F.expr("d - some + rank - 1"),  # differences that no other member has come first
         "most": F.expr(f"(nv + nv * 100 div {percent}) * {q} div {r}"),  # how far a similar set can be apart
         "least": F.expr(f"if(linked, (d * {r} + (nu - nv) * {q}) div {2 * r} + 1, greatest(1, d - (nv + nv * 100 div {percent}) * {q} div {r}))"),
     }).where("place <= d - least")
-    columns = ["g", "s", F.col("v").alias("node"), F.col("nv").alias("n"), "d", "place", "root", "linked", "most", (-F.col("d")).alias("weight")]
+    columns = ["g", "s", F.col("v").alias("node"), F.col("nv").alias("n"), "d", "place", "root", "linked", "most"]
     placed = written(placed.select(*columns), "differences")
     # a member that differs too much, by its place and the least one in the group, goes; then groups with nothing to tell
     least = placed.groupBy("g").agg(F.min("place").alias("first"))
@@ -434,15 +453,17 @@ def _prefixes(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     )
     open_ = open_.where("roots > 1 and not all")
     open_ = open_.select("g", "c", (F.col("c") - F.col("most.c")).alias("others"), F.col("most.root").alias("top"))
-    found = near.drop("linked").join(open_, "g").withColumn("minor", F.expr("root <> top")).drop("top")
-    found = written(found, "open-groups")
-    discard(rooted, placed)
-    return found
+    groups = near.drop("linked").join(open_, "g").withColumns({"minor": F.expr("root <> top"), "weight": -F.col("d")}).drop("top")
+    groups = written(groups, "open-groups")
+    discard(rooted, torn, placed)
+    return groups
 
 
-def _close_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of different components in groups that are compared directly, that can be similar by their sizes,
-    differences and places. One of each pair is outside the group's largest component."""
+def _close_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v), and differ, the bits in which their sketches do, of different components in groups that are compared directly, that can be similar by their sizes,
+    differences, places and sketches. One of each pair is outside the group's largest component. Of the differences that two
+    similar sets share, the rarest tells all in which they differ by place: those before it, and after it the difference in
+    number at least."""
     small = groups.where(_DIRECT)
     apart = f"(u.n + v.n) * {100 - percent} div {100 + percent}"
     pairs = small.where("minor").alias("u").join(
@@ -450,10 +471,25 @@ def _close_pairs(groups: DataFrame, percent: int) -> DataFrame:
         F.expr(
             f"u.g = v.g and (u.node < v.node or not v.minor) and u.root <> v.root"
             f" and {percent} * greatest(u.n, v.n) <= 100 * least(u.n, v.n)"
-            f" and u.place + v.place <= {apart} and abs(u.d - v.d) <= {apart}"
+            f" and u.place + v.place + abs(u.d - u.place - v.d + v.place) <= {apart}"
         ),
     )
-    return pairs.select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v")).distinct()
+    pairs = pairs.select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v"), F.expr(apart).alias("apart"))
+    pairs = written(pairs.distinct(), "close-pairs")
+    for side in "vu":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    differ = reduce(add, (F.bit_count(F.col("sketch_u")[i].bitwiseXOR(F.col("sketch_v")[i])) for i in range(SKETCH)))
+    return pairs.withColumn("differ", differ).where("differ <= apart").select("u", "v", "differ")
+
+
+def _torn_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't one component yet, and rank, from 1 for the most alike ones of the same two components."""
+    for side in "uv":
+        found = hinted(roots, "16").select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(found, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    two = Window.partitionBy(F.least("root_u", "root_v"), F.greatest("root_u", "root_v"))
+    pairs = pairs.where("root_u <> root_v").withColumn("rank", F.row_number().over(two.orderBy("differ", "u", "v")))
+    return pairs.drop("root_u", "root_v")
 
 
 def _classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -472,13 +508,21 @@ def _classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = written(_stars(kept.withColumnRenamed("k", "g")), "stars")
     while not stars.isEmpty():
         rest(spark)
-        found = written(_compared(stars.select("u", "v").distinct(), sets, percent), "compared-stars")
+        found = written(_compared(stars, sets, percent).withColumn("m", F.monotonically_increasing_id()), "compared-stars")
+        discard(stars)
         linked(found)
-        groups = _prefixes(stars.join(found, ["u", "v"]), roots, percent)
-        discard(found, stars)
-        close = _close_pairs(groups, percent)
-        if not close.isEmpty():
-            linked(written(_compared(close, sets, percent).select("u", "v", "linked"), "compared-pairs"))
+        groups = _prefixes(found, roots, percent)
+        discard(found)
+        # one link of two components will do, so the most alike pairs come first, and more where these aren't linked
+        close, most = written(_close_pairs(groups, sets, percent), "sketched-pairs"), FIRST_PAIRS
+        while not close.isEmpty():
+            torn = written(_torn_pairs(close, roots), "torn-pairs")
+            some = torn.where(F.col("rank") <= most).withColumn("s", F.lit(0).cast("long"))
+            wanted = hinted(some.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "16")
+            few = sets.join(wanted, "node", "left_semi")
+            linked(written(_compared(some, few, percent).select("u", "v", "linked"), "compared-pairs"))
+            discard(close)
+            close, most = torn.where(F.col("rank") > most).drop("rank"), most * MORE_PAIRS
         large = groups.where(f"not ({_DIRECT})")
         # several differences can have the same members: one of them will do
         same = large.groupBy("g").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("c"))
@@ -498,6 +542,7 @@ def _all_links(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         u = ranked.where(f"rank > {done} and rank <= {done + CENTERS}").alias("u")
         pairs = ranked.alias("v").join(u, F.expr("u.k = v.k and u.rank < v.rank"))
         pairs = pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+        pairs = pairs.withColumn("s", F.lit(0).cast("long"))
         found = _compared(pairs, sets, percent).where("linked").select("u", "v")
         links = written(links.unionByName(found).distinct(), "links")
     return links
